@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossmark.llm import topn
+from glossmark.llm import lookalike, tokenise, topn
+from glossmark.session import spread
 from glossmark.sources.tables import table
 
 
@@ -12,8 +13,25 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return topn.best_entries(table(spark, folder, "nbest"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.same_looking(table(spark, folder, "nbest"), table(spark, folder, "refs"))
+
+
+def p3_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Every hypothesis in canonical form."""
+    nbest = spread(table(spark, folder, "nbest").select("entry_id", "hyp"))
+    return nbest.select("entry_id", lookalike.canonical_text("hyp").alias("hyp"))
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenise.encode_documents(table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_entries": p3_entries,
     "p5_found": p5_found,
+    "p6_ids": p6_ids,
 }
 
 SQL = {
