@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossmark.llm import lookalike, tokenise, topn
+from glossmark.llm import garbled, lookalike, tokenise, topn
 from glossmark.session import spread
 from glossmark.sources.tables import table
 
@@ -13,6 +13,19 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return topn.best_entries(table(spark, folder, "nbest"))
 
 
+def _clean(spark: SparkSession, folder: str) -> list[tuple[DataFrame, str]]:
+    return [(table(spark, folder, "hypotheses"), "hyp"), (table(spark, folder, "refs"), "ref")]
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    hits = garbled.garbled_entries(table(spark, folder, "nbest"), _clean(spark, folder), "entry_id", "hyp")
+    return hits.select("entry_id").distinct()
+
+
+def p1_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled.restored(table(spark, folder, "nbest"), _clean(spark, folder), "entry_id", "hyp")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.same_looking(table(spark, folder, "nbest"), table(spark, folder, "refs"))
 
@@ -28,6 +41,8 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_restored": p1_restored,
     "p3_found": p3_found,
     "p3_entries": p3_entries,
     "p5_found": p5_found,
