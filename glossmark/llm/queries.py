@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossmark.llm import garbled, lookalike, tokenise, topn
+from glossmark.llm import garbled, leakage, lookalike, tokenise, topn
 from glossmark.session import spread
 from glossmark.sources.tables import table
 
@@ -40,6 +40,14 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenise.encode_documents(table(spark, folder, "documents"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_restored": p1_restored,
@@ -47,6 +55,8 @@ QUERIES = {
     "p3_entries": p3_entries,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
 }
 
 SQL = {
