@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossmark.llm import garbled, leakage, lookalike, tokenise, topn
+from glossmark.llm import garbled, leakage, lookalike, quality, tokenise, topn
 from glossmark.session import spread
 from glossmark.sources.tables import table
 
@@ -48,6 +48,14 @@ def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p8_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.text_figures(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.not_prose(p8_stats(spark, folder)).select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_restored": p1_restored,
@@ -57,6 +65,8 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p8_found": p8_found,
+    "p8_stats": p8_stats,
 }
 
 SQL = {
