@@ -86,7 +86,7 @@ def diff_rank(stats: DataFrame, metrics: list[Metric], by_run: DataFrame, baseli
     base = median.where(F.col("sys_id") == baseline).select("metric", "sent_id", F.col("score").alias("base"), *[F.col(c).alias(f"base_{c}") for c in kept if c == "hyp"])
     other = median.where(F.col("sys_id") != baseline)
     both = other.join(base, ["metric", "sent_id"]).withColumn("diff", F.col("score") - F.col("base"))
-    order = W.partitionBy("metric", "sys_id").orderBy(F.desc("diff"), "sent_id")
+    order = W.partitionBy("metric", "sys_id").orderBy(F.round("diff", 9).desc(), "sent_id")  # noise of the last digits is a tie
     return both.withColumn("place", F.row_number().over(order))
 
 

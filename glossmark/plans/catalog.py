@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossmark.plans import problems
+from glossmark.plans import evaluation, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**evaluation.QUERIES, **problems.QUERIES}
+SQL = {**evaluation.SQL, **problems.SQL}
