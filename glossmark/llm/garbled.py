@@ -19,6 +19,7 @@ among the words but judged by their traces.
 
 from __future__ import annotations
 
+import codecs
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -54,7 +55,7 @@ MAX_TOKEN = 200
 #: Bits of the bitmap of suspects: 2 MB.
 BITS = 1 << 24
 
-FORMS = "token string, original string, chain string, multi boolean, units int, trusted boolean"
+FORMS = "token string, original string, chain string, place int, multi boolean, units int, trusted boolean"
 
 
 @lru_cache(maxsize=64)
@@ -72,48 +73,78 @@ def _undefined(encoding: str) -> frozenset[int]:
 _WIDE = {"utf-8", "gb18030", "big5", "cp932", "euc_kr", "euc_jp"}
 
 
-def misread(data: bytes, encoding: str) -> list[str]:
-    """The texts that decoders make of these bytes; they differ in what they do with undefined bytes."""
+def misread(raws: list[bytes], encoding: str) -> list[list[str]]:
+    """The texts that decoders make of each of these bytes; they differ in what they do with undefined bytes.
+
+    All are decoded in one call, joined by line breaks, which no encoding here uses for anything else.
+    """
+    data, n = b"\n".join(raws), len(raws)
     try:
-        return [data.decode(encoding)]
+        texts = [data.decode(encoding)]
     except UnicodeDecodeError:
-        pass
-    texts = [data.decode(encoding, "replace"), data.decode(encoding, "ignore")]
-    if encoding not in _WIDE and encoding != "ascii":
-        gaps = _undefined(encoding)
-        texts.append("".join(chr(b) if b in gaps else bytes([b]).decode(encoding) for b in data))
-    return texts
-
-
-def garbled_forms(word: str) -> dict[str, tuple[str, bool]]:
-    """Each garbled form of the word: its chain, and whether it comes of UTF-8 (several characters for one)."""
-    out: dict[str, tuple[str, bool]] = {}
-
-    def add(form: str, chain: str, multi: bool) -> None:
-        if form and form != word and not form.isascii():
-            out.setdefault(form, (chain, multi))
-            low = form.lower()
-            if low != form and low != word:
-                out.setdefault(low, (chain + "+lower", multi))
-
-    raw = word.encode()
+        texts = [data.decode(encoding, "replace"), data.decode(encoding, "ignore")]
+        if encoding not in _WIDE and encoding != "ascii":
+            gaps = _undefined(encoding)
+            texts.append(codecs.charmap_decode(data, "strict", "".join(chr(b) if b in gaps else bytes([b]).decode(encoding) for b in range(256)))[0])
+    columns = [t.split("\n") for t in texts]
+    if any(len(c) != n for c in columns):  # a broken character took the line break with it
+        columns = [[r.decode(encoding, how) for r in raws] for how in ("replace", "ignore")]
+    return columns
+
+
+def garbled_columns(words: list[str]) -> Iterator[tuple[str, bool, list[str], list[str]]]:
+    """For each chain, in order: its name, whether it comes of UTF-8, words, and a garbled form of each."""
+
+    def forms(chain: str, multi: bool, own: list[str], columns: list[list[str]]) -> Iterator[tuple[str, bool, list[str], list[str]]]:
+        for k, column in enumerate(columns):
+            if k:  # where the decoders agree, once is enough
+                pairs = [(w, f) for w, f, first in zip(own, column, columns[0]) if f != first]
+                yield chain, multi, [w for w, _ in pairs], [f for _, f in pairs]
+            else:
+                yield chain, multi, own, column
+
+    raws = [w.encode() for w in words]
     for d in UTF8_READ_AS:
-        for form in misread(raw, d):
-            add(form, f"utf-8>{d}", True)
+        yield from forms(f"utf-8>{d}", True, words, misread(raws, d))
     for d, again in UTF8_TWICE:
-        for once in misread(raw, d):
-            for form in misread(once.encode(), again):
-                add(form, f"utf-8>{d}>utf-8>{again}", True)
+        for once in misread(raws, d):
+            yield from forms(f"utf-8>{d}>utf-8>{again}", True, words, misread([x.encode() for x in once], again))
+    letters = set().union(*words)
     for encodings, decodings in LEGACY:
         for e in encodings:
-            try:
-                raw = word.encode(e)
-            except UnicodeEncodeError:
-                continue
+            known = {c for c in letters if _encodable(c, e)}
+            own = [w for w in words if known.issuperset(w)]
+            raws = [w.encode(e) for w in own]
             for d in decodings:
-                if d != e:
-                    for form in misread(raw, d):
-                        add(form, f"{e}>{d}", False)
+                if d != e and own:
+                    yield from forms(f"{e}>{d}", False, own, misread(raws, d))
+
+
+@lru_cache(maxsize=200_000)
+def _encodable(c: str, encoding: str) -> bool:
+    try:
+        c.encode(encoding)
+        return True
+    except UnicodeEncodeError:
+        return False
+
+
+def with_lower(chain: str, word: str, form: str) -> Iterator[tuple[str, str]]:
+    """The form and its lower case, with the chain of each, where they differ from the word and go beyond ASCII."""
+    if form and form != word and not form.isascii():
+        yield form, chain
+        low = form.lower()
+        if low != form and low != word:
+            yield low, chain + "+lower"
+
+
+def garbled_forms(word: str) -> dict[str, tuple[str, bool]]:
+    """Each garbled form of one word: its first chain, and whether it comes of UTF-8."""
+    out: dict[str, tuple[str, bool]] = {}
+    for chain, multi, words, forms in garbled_columns([word]):
+        for w, form in zip(words, forms):
+            for f, c in with_lower(chain, w, form):
+                out.setdefault(f, (c, multi))
     return out
 
 
@@ -221,10 +252,11 @@ def vocabulary(texts: DataFrame, clean: list[tuple[DataFrame, str]], col: str) -
     known = parts[0]
     for p in parts[1:]:
         known = known.unionByName(p)
-    known = known.select(F.lower("token").alias("word")).where(F.length("word") <= MAX_TOKEN).distinct()
+    known = known.where(F.length("token") <= MAX_TOKEN).select(F.lower("token").alias("token")).distinct()
+    known = known.withColumn("look", _looked_at("token")).select(F.col("token").alias("word"), F.coalesce("look.plain", "token").alias("form"))
     found = _tokens(texts, col).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.length("token") <= MAX_TOKEN)
     looked = found.withColumn("look", _looked_at("token")).select("token", "n", "look.plain", "look.natural")
-    suspects = looked.where("plain IS NOT NULL").join(known, looked.plain == known.word, "left_anti").select("token", "n", "natural")
+    suspects = looked.where("plain IS NOT NULL").join(known, looked.plain == known.form, "left_anti").select("token", "n", "natural")
     own = suspects.where("natural").select(F.col("token").alias("word"), F.lit(False).alias("trusted"))
     return known.select("word", F.lit(True).alias("trusted")).unionByName(own), suspects
 
@@ -245,14 +277,15 @@ def _form_rows(bits, mask: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = bits.value
         for pdf in batches:
+            trust = dict.fromkeys(pdf["word"], False) | dict.fromkeys(pdf["word"][pdf["trusted"]], True)
             out = []
-            for word, trusted in zip(pdf["word"], pdf["trusted"]):
-                units = sum(not c.isascii() for c in word)
-                for form, (chain, multi) in garbled_forms(word).items():
-                    at = xxhash.xxh64_intdigest(form.encode(), 42) & mask
-                    if known[at >> 3] >> (at & 7) & 1:
-                        out.append((form, word, chain, multi, units, trusted))
-            yield pd.DataFrame(out, columns=["token", "original", "chain", "multi", "units", "trusted"])
+            for place, (chain, multi, words, forms) in enumerate(garbled_columns(list(trust)) if trust else ()):
+                for word, raw in zip(words, forms):
+                    for form, name in with_lower(chain, word, raw):
+                        at = xxhash.xxh64_intdigest(form.encode(), 42) & mask
+                        if known[at >> 3] >> (at & 7) & 1:
+                            out.append((form, word, name, place, multi, sum(not c.isascii() for c in word), trust[word]))
+            yield pd.DataFrame(out, columns=["token", "original", "chain", "place", "multi", "units", "trusted"])
 
     return rows
 
@@ -284,10 +317,13 @@ def garbled_tokens(texts: DataFrame, clean: list[tuple[DataFrame, str]], col: st
     """(token, original, chain) of every garbled token; original is null where several words, or none, fit."""
     words, suspects = vocabulary(texts, clean, col)
     suspects = suspects.persist()
-    lets = texts.sparkSession.sparkContext.broadcast(bitmap(suspects, bits))
-    forms = words.repartition("word").mapInPandas(_form_rows(lets, bits - 1), FORMS)
+    spark = texts.sparkSession
+    lets = spark.sparkContext.broadcast(bitmap(suspects, bits))
+    # A fixed number of tasks: making the forms takes long for the few bytes that the words are.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    forms = words.repartition(tasks, "word").mapInPandas(_form_rows(lets, bits - 1), FORMS)
     found = forms.join(suspects.select("token"), "token").withColumn("weight", _judged("token", "original", "chain", "multi", "units", "trusted"))
-    rank = F.struct("weight", F.col("trusted").cast("int"), F.negative(F.length("chain")), "original", "chain")
+    rank = F.struct("weight", F.col("trusted").cast("int"), F.negative("place"), "original", "chain")
     best = (
         found.where("weight > 0")
         .groupBy("token")
