@@ -256,7 +256,9 @@ def vocabulary(texts: DataFrame, clean: list[tuple[DataFrame, str]], col: str) -
     known = known.withColumn("look", _looked_at("token")).select(F.col("token").alias("word"), F.coalesce("look.plain", "token").alias("form"))
     found = _tokens(texts, col).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.length("token") <= MAX_TOKEN)
     looked = found.withColumn("look", _looked_at("token")).select("token", "n", "look.plain", "look.natural")
-    suspects = looked.where("plain IS NOT NULL").join(known, looked.plain == known.form, "left_anti").select("token", "n", "natural")
+    # With n in the condition the join stays above the count, and tokens are looked at once each.
+    unknown = looked.where("plain IS NOT NULL").join(known, (looked.plain == known.form) & (looked.n > 0), "left_anti")
+    suspects = unknown.select("token", "natural")
     own = suspects.where("natural").select(F.col("token").alias("word"), F.lit(False).alias("trusted"))
     return known.select("word", F.lit(True).alias("trusted")).unionByName(own), suspects
 
@@ -304,7 +306,9 @@ _TRACE = T.StructType([T.StructField(c, T.StringType()) for c in ("original", "c
 def _traced(tokens: pd.Series) -> pd.DataFrame:
     out = []
     for t in tokens:
-        if "�" in t:
+        if t is None:
+            out.append((None, None))
+        elif "�" in t:
             out.append((None, "lost"))
         elif natural(t) or (back := read_back(t)) is None:
             out.append((None, None))
@@ -335,8 +339,11 @@ def garbled_tokens(texts: DataFrame, clean: list[tuple[DataFrame, str]], col: st
             F.col("best.chain").alias("chain"),
         )
     )
-    left = suspects.where("NOT natural").join(best, "token", "left_anti").withColumn("t", _traced("token"))
-    return best.unionByName(left.select("token", "t.original", "t.chain").where("chain IS NOT NULL"))
+    told = suspects.join(best, "token", "left")
+    told = told.withColumn("t", _traced(F.when(F.col("chain").isNull() & ~F.col("natural"), F.col("token"))))
+    return told.select(
+        "token", F.coalesce("original", "t.original").alias("original"), F.coalesce("chain", "t.chain").alias("chain")
+    ).where("chain IS NOT NULL")
 
 
 def _long_tokens(texts: DataFrame, id_col: str, col: str) -> DataFrame:
