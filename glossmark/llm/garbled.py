@@ -226,15 +226,15 @@ def _tokens(texts: DataFrame, col: str, *keep: str) -> DataFrame:
 _CANONICAL = T.StructType([T.StructField("plain", T.StringType()), T.StructField("natural", T.BooleanType())])
 
 
-def _undisguised(token: str) -> str | None:
-    """The word that the token looks like; None if that has only ASCII letters though the token is no word.
+def _undisguised(token: str) -> str:
+    """The word that the token looks like; empty if that has only ASCII letters though the token is no word.
 
     Where what is invisible may be what misreading leaves, the token stands for itself.
     """
     if re.search("[\x80-\x9f�]|[\xc2-\xf4][\xa0\xad]", token):
         return token.lower()
     plain = canonical(token)
-    return None if plain.isascii() and not natural(token) else plain.lower()
+    return "" if plain.isascii() and not natural(token) else plain.lower()
 
 
 @F.pandas_udf(_CANONICAL)
@@ -253,11 +253,14 @@ def vocabulary(texts: DataFrame, clean: list[tuple[DataFrame, str]], col: str) -
     for p in parts[1:]:
         known = known.unionByName(p)
     known = known.where(F.length("token") <= MAX_TOKEN).select(F.lower("token").alias("token")).distinct()
-    known = known.withColumn("look", _looked_at("token")).select(F.col("token").alias("word"), F.coalesce("look.plain", "token").alias("form"))
+    known = known.withColumn("look", _looked_at("token")).select(F.col("token").alias("word"), F.coalesce(F.nullif("look.plain", F.lit("")), "token").alias("form"))
     found = _tokens(texts, col).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.length("token") <= MAX_TOKEN)
-    looked = found.withColumn("look", _looked_at("token")).select("token", "n", "look.plain", "look.natural")
-    # With n in the condition the join stays above the count, and tokens are looked at once each.
-    unknown = looked.where("plain IS NOT NULL").join(known, (looked.plain == known.form) & (looked.n > 0), "left_anti")
+    # With n in what is asked, the join stays above the count, and tokens are looked at once each.
+    counted = F.when(F.col("n") > 0, F.col("token"))
+    looked = found.withColumn("look", _looked_at(counted)).select("token", "n", "look.plain", "look.natural")
+    empty = known.sparkSession.range(1).select(F.lit("").alias("form"))
+    forms = known.select("form").unionByName(empty)
+    unknown = looked.join(forms, (looked.plain == forms.form) & (looked.n > 0), "left_anti")
     suspects = unknown.select("token", "natural")
     own = suspects.where("natural").select(F.col("token").alias("word"), F.lit(False).alias("trusted"))
     return known.select("word", F.lit(True).alias("trusted")).unionByName(own), suspects
