@@ -381,5 +381,7 @@ def restored(texts: DataFrame, clean: list[tuple[DataFrame, str]], id_col: str,
         F.collect_set(F.when(F.col("original").isNotNull(), F.struct("token", "original"))).alias("pairs"),
         F.bool_and(F.col("original").isNotNull()).alias("whole"),
     )
-    rows = texts.select(id_col, F.col(col).alias("text")).join(pairs, id_col)
-    return rows.select(id_col, "text", _substituted("text", "pairs").alias("restored"), "whole")
+    pairs = pairs.withColumnRenamed(id_col, "hit_id")
+    rows = texts.select(F.col(id_col).alias("row_id"), F.col(col).alias("text"))
+    rows = rows.join(pairs, rows.row_id.eqNullSafe(pairs.hit_id))
+    return rows.select(F.col("row_id").alias(id_col), "text", _substituted("text", "pairs").alias("restored"), "whole")

@@ -2,8 +2,8 @@
 
 Every line that is not blank becomes a few small observations (how it begins and ends, shares of common words,
 numbers, symbols and odd tokens, separators, length). A hidden Markov model labels the lines of each document, in
-their order, as prose, list, table or junk; the shares of a document's characters under each label, and
-plain figures, come out in one row per document.
+their order, as prose, list, table or junk; the shares of a document under each label, where a line counts by the
+root of its length, and plain figures, come out in one row per document.
 
 The model is trained here, over all lines of all documents: lines that are plain cases of a state are counted
 first, then rounds of forward-backward counts let the other lines in. Each round is one pass in which every
@@ -34,7 +34,7 @@ STATES = {"prose": 0, "list": 1, "figures": 2, "cells": 2, "code": 3, "noise": 3
 LABEL_OF = np.eye(len(LABELS))[list(STATES.values())]
 #: Observations of a line and their numbers of bins.
 BINS = {
-    "lead": 5, "end": 4, "common": 6, "numbers": 4, "separators": 4, "symbols": 4, "words": 4, "odd": 4, "length": 4, "repeats": 3, "case": 3,
+    "lead": 6, "end": 4, "common": 6, "numbers": 4, "separators": 4, "symbols": 4, "words": 4, "odd": 4, "length": 4, "repeats": 3, "case": 3,
 }
 ROUNDS = 2
 #: Common words are sent to every executor; more than this are refused.
@@ -42,7 +42,9 @@ MAX_COMMON = 100_000
 
 _LEAD = re.compile(r"[ \t]*(?:([•\-*–—·▪◦‣●○+#>☐✓→]+)\s|(\(?(?:\d{1,3}|[A-Za-zа-яα-ω]|[ivxIVX]{1,4})[.):]\)?)\s)")
 _CJK = re.compile("[ぁ-ヿ㐀-鿿가-힣\U00020000-\U0002ffff]")
-_GAPS = re.compile(r"\t|\||(?<=\S) {2,}(?=\S)| / |;(?=\S)|,(?=[^\s\d])")
+_GAPS = re.compile(r"\t|\||(?<=\S) {2,}(?=\S)| / |;(?=\S)|,(?=[^\s\d])|\.{4,}")
+# What stands in a line but is not read: plain tags, strings like special tokens, control and invisible characters.
+_UNREAD = re.compile("</?[a-z]{1,6}/?>|<\\|\\w{1,40}\\|>|\\[(?:UNK|CLS|SEP|PAD|MASK)\\]|[\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f\xad\u200b-\u200f\u2060-\u2064\ufeff]")
 _NUMBER = re.compile(r"[-+(]?[\d.,:/%$€£]*\d[\d.,:/%$€£)]*")
 _SYMBOL = re.compile(r"[^\w\s.,!?'\"’“”„«»‘—–\-…。、，！？：；;:()（）「」]|_")
 _EDGE = ".,!?;:'\"’“”„«»‘()[]{}…。、，！？：；「」—–-*_<>#"
@@ -86,10 +88,14 @@ class Common:
 
 def line_figures(line: str, common: Common) -> tuple[list[int], tuple[int, int, int, int, int]]:
     """Bins of a line that is not blank; its words, their characters, its symbols, its common words, sentence end."""
+    line = _UNREAD.sub("", line)
     raw = line.split()
+    if not raw:
+        raw = [line := "-"]
     cjk = len(_CJK.findall(line))
     chars = sum(map(len, raw))
-    if cjk * 2 > chars:
+    dense = cjk > 0 and cjk * 2 > sum(map(str.isalpha, line))  # a script without blanks
+    if dense:
         letters = _CJK.findall(line)
         words = letters
         lookup = letters + [a + b for a, b in zip(letters, letters[1:])]
@@ -99,14 +105,14 @@ def line_figures(line: str, common: Common) -> tuple[list[int], tuple[int, int,
     count = len(words)
     hits = common.hits(lookup)
     numbers = sum(_NUMBER.fullmatch(t) is not None for t in raw)
-    odd = sum(map(_odd, raw)) if cjk * 2 <= chars else 0
+    odd = 0 if dense else sum(map(_odd, raw))
     symbols = len(_SYMBOL.findall(line))
     tail = line.rstrip(_CLOSERS)
     last = tail[-1] if tail else line.rstrip()[-1]
     end = 1 if last in _SENTENCE[:-2] else 2 if last in ",;:、，：；" else 0 if last.isalnum() else 3
     lead = _LEAD.match(line)
     first = line.lstrip()[0]
-    begin = 1 if lead and lead[1] else 2 if lead else 4 if first.isdigit() else 0 if first.isalpha() else 3
+    begin = 5 if lead and lead[1] and lead[1] in "–—" else 1 if lead and lead[1] else 2 if lead else 4 if first.isdigit() else 0 if first.isalpha() else 3
     size = sum(map(len, words)) / count if count else 0.0
     start = next((c for c in line if c.isalpha()), "")
     share = hits / count if count else 0.0
@@ -117,9 +123,9 @@ def line_figures(line: str, common: Common) -> tuple[list[int], tuple[int, int,
         _bin(numbers / len(raw), 0, 0.15, 0.4),
         min(3, len(_GAPS.findall(line.strip()))),
         _bin(symbols / chars, 0.01, 0.05, 0.15),
-        _bin(count, 2, 5, 12),
+        _bin(count / 2 if dense else count, 2, 5, 12),
         _bin(odd / len(raw), 0, 0.1, 0.4),
-        0 if cjk * 2 > chars else 1 + _bin(size, 2.5, 11.0),
+        0 if dense else 1 + _bin(size, 2.5, 11.0),
         0 if len(raw) < 6 else _bin(1 - len(set(raw)) / len(raw), 0.35, 0.6),
         0 if start.isupper() else 1 if start.islower() else 2,
     ]
@@ -132,10 +138,10 @@ def plain_state(b: np.ndarray) -> np.ndarray:
     out = np.full(len(b), -1)
     clean = (symbols == 0) & (odd == 0) & (repeats < 2) & (lead != 1) & (lead != 2)
     out[clean & (seps <= 1) & (common >= 3) & (common <= 4) & (words >= 2)] = 0
-    out[clean & (seps == 0) & (end == 1) & (numbers <= 2) & (lead == 0)] = 0
+    out[clean & (seps == 0) & (end == 1) & (numbers <= 2) & ((lead == 0) | (lead == 5))] = 0
     out[((lead == 1) | (lead == 2)) & (words <= 1) & (end != 1) & (seps == 0) & (odd <= 1)] = 1
     out[(seps >= 2) & (common == 0) & (numbers >= 2)] = 2
-    out[(seps == 3) & (common == 0) & (numbers < 2) & (repeats < 2) & (odd < 2)] = 3
+    out[(seps == 3) & (common <= 1) & (numbers < 2) & (repeats < 2) & (odd < 2)] = 3
     out[(symbols == 3) & (seps < 2) & (common != 3) & (common != 4) & (repeats < 2)] = 4
     out[(odd == 3) & (symbols < 3) & (seps < 2) & (repeats < 2)] = 5
     out[(repeats == 2) & (seps < 2)] = 6
@@ -285,7 +291,7 @@ def train(lines: DataFrame, rounds: int = ROUNDS) -> Model:
 
 
 STATS = (
-    "words bigint, mean_word_length double, symbol_ratio double, ended_lines double, common_words double, "
+    "words bigint, lines bigint, mean_word_length double, symbol_ratio double, ended_lines double, common_words double, "
     + ", ".join(f"{s} double" for s in LABELS)
 )
 
@@ -313,12 +319,12 @@ def text_figures(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id
             with np.errstate(divide="ignore", invalid="ignore"):
                 ratios = [word_chars / count, symbols / chars, ended / n, common / count, *(share / np.bincount(doc, sizes, minlength=len(n)))]
             blank = [pa.array(r, mask=~np.isfinite(r)) for r in ratios]
-            names = [id_col, "words", "mean_word_length", "symbol_ratio", "ended_lines", "common_words", *LABELS]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), *blank], names=names)
+            names = [id_col, "words", "lines", "mean_word_length", "symbol_ratio", "ended_lines", "common_words", *LABELS]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(n), *blank], names=names)
 
     return lines.mapInArrow(label, f"`{id_col}` bigint, {STATS}")
 
 
 def not_prose(figures: DataFrame) -> DataFrame:
-    """Documents that are mostly lists, tables and junk."""
-    return figures.where("prose < 0.5")
+    """Documents that are mostly lists, tables and junk. A single line is no list, but a short or cut text."""
+    return figures.where("prose < 0.5 AND NOT (lines = 1 AND list > table AND list > junk)")
