@@ -44,8 +44,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Repartition an input that has fewer partitions than the cluster has cores.
 
     Files with few row groups give few tasks; Python stages over them would leave cores idle.
-    Inputs with enough partitions are returned as they are, without a shuffle.
+    Inputs with enough partitions are returned as they are, without a shuffle. So are streams, and plans with an
+    exchange of their own, whose partitions are only known by running them.
     """
+    if df.isStreaming or df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
