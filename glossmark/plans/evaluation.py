@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossmark import experiment
 from glossmark.functions import text as tx
 from glossmark.operators import analysis, corpus, evaluate, nbest, report, resample
 from glossmark.operators.metrics import load
@@ -188,14 +189,7 @@ def meteor_by_run(spark: SparkSession, folder: str) -> DataFrame:
 
 def full_results(spark: SparkSession, folder: str) -> DataFrame:
     """All four metrics: summary of runs, bootstrap and randomization, in long form."""
-    metrics = load("bleu meteor ter length")
-    stats = _stats(spark, folder, metrics).persist()
-    by_run = evaluate.scores_by_run(stats, metrics)
-    boot = resample.bootstrap_summary(resample.replica_scores(resample.bootstrap_sums(stats, metrics, DRAWS), metrics))
-    kinds = [c for c in boot.columns if c.startswith("resampled")]
-    boot = boot.select("metric", "sys_id", F.inline(F.array(*[F.struct(F.lit(k).alias("type"), F.col(k).alias("value")) for k in kinds])))
-    p = resample.p_values(resample.shuffle_sums(stats, metrics, DRAWS), metrics).select("metric", "sys_id", F.lit("p").alias("type"), F.col("p").alias("value"))
-    return evaluate.results(by_run).unionByName(boot).unionByName(p)
+    return experiment.evaluate(*_tables(spark, folder), boot_samples=DRAWS, ar_shuffles=DRAWS)
 
 
 def ascii_table(spark: SparkSession, folder: str) -> DataFrame:

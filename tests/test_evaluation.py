@@ -148,3 +148,42 @@ def test_stream(spark, tmp_path):
     query.stop()
     row = spark.table("sums").first()
     assert row.sentences == 6 and row.bleu_match1 == 18 and row.length_ref == 18
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from glossmark.__main__ import main
+
+    texts = {"b0": ["a b c d e", "x y"], "b1": ["a b c d", "x y z"], "s0": ["a b c d e f", "x"], "s1": ["a c d e", "y x"], "r0": ["a b c d e", "x y z"]}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    p = lambda *names: [str(tmp_path / n) for n in names]
+    base = ["eval", "--metrics", "bleu", "ter", "--refs", *p("r0"), "--boot-samples", "20", "--ar-shuffles", "20", "--latex", str(tmp_path / "t.tex")]
+    lines = main([*base, "--sentLevelDir", str(tmp_path / "s"), "--rankDir", str(tmp_path / "k"), "--hyps-baseline", *p("b0", "b1"), "--hyps-sys1", *p("s0", "s1")])
+    assert lines[0].startswith("n=2") and lines[1].startswith("baseline") and lines[2].startswith("system 1")
+    assert (tmp_path / "t.tex").read_text().count("multirow") == 2
+    assert sorted(x.name for x in (tmp_path / "k").iterdir() if x.is_dir()) == ["file=sys2.sortedby.bleu", "file=sys2.sortedby.ter"]
+    with pytest.raises(SystemExit):
+        main([*base, "--hyps-baseline", *p("b0"), "--nope"])
+    (tmp_path / "n").write_text("0 ||| a b c ||| f=1 ||| -1\n0 ||| a b c d e ||| f=2 ||| -2\n1 ||| x y ||| f ||| 3\n")
+    got = main(["nbest", "--nbest", *p("n"), "--refs", *p("r0"), "--metrics", "bleu", "ter", "--rankDir", str(tmp_path / "nk")])
+    assert len(got) == 6 and got[3] == "ter oracle score: 12.50"
+
+
+def test_own_metric(spark):
+    from glossmark.operators.metrics import register
+    from glossmark.operators.metrics.base import Metric
+
+    class Vowels(Metric):
+        name, label, stats, description = "vowels", "Vowels", ("vowels_n",), "share of a"
+
+        def add_stats(self, sentences):
+            return sentences.withColumn("vowels_n", F.size(F.filter("hyp_tokens", lambda t: t == "a")).cast("bigint"))
+
+        def score(self):
+            return F.col("vowels_n").cast("double")
+
+    register("vowels", Vowels)
+    h = spark.createDataFrame([(0, 0, 0, "a b a"), (0, 0, 1, "a")], "sys_id int, opt_id int, sent_id long, hyp string")
+    r = spark.createDataFrame([(0, 0, "x"), (1, 0, "x")], "sent_id long, ref_id int, ref string")
+    m = load("vowels")
+    assert evaluate.scores_by_run(evaluate.suff_stats(h, r, m), m).first().score == 3.0
