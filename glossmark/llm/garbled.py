@@ -54,6 +54,8 @@ LEGACY = (
 MAX_TOKEN = 200
 #: Bits of the bitmap of suspects: 2 MB.
 BITS = 1 << 24
+#: Hashes by which tokens are sorted out before they are joined: 8 MB at most.
+HASHES = 1 << 20
 
 FORMS = "token string, original string, chain string, place int, multi boolean, units int, trusted boolean"
 
@@ -357,8 +359,12 @@ def _long_tokens(texts: DataFrame, id_col: str, col: str) -> DataFrame:
 def garbled_entries(texts: DataFrame, clean: list[tuple[DataFrame, str]], id_col: str, col: str) -> DataFrame:
     """(id, token, original, chain) of every garbled token of every row."""
     texts = texts.select(id_col, col)
-    tokens = garbled_tokens(texts, clean, col)
-    short = _tokens(texts, col, id_col).where(F.length("token") <= MAX_TOKEN).join(tokens, "token")
+    tokens = garbled_tokens(texts, clean, col).persist()
+    # Most tokens are sorted out before the shuffle, by a part of their hash: at most HASHES numbers are broadcast.
+    part = F.xxhash64("token").bitwiseAND(HASHES - 1)
+    parts = F.broadcast(tokens.select(part.alias("part")).distinct())
+    short = _tokens(texts, col, id_col).where(F.length("token") <= MAX_TOKEN)
+    short = short.withColumn("part", part).join(parts, "part", "left_semi").join(tokens, "token")
     return short.select(id_col, "token", "original", "chain").unionByName(_long_tokens(texts, id_col, col))
 
 
