@@ -40,5 +40,6 @@ def evaluate(
 def nbest(entries: DataFrame, refs: DataFrame, metrics: str | list[Metric] = "bleu meteor ter", compat: bool = False) -> tuple[DataFrame, DataFrame]:
     """Ranked entries, and the corpus scores of the best, worst and first entry of each list."""
     own = load(metrics)
-    ranked = nb.ranked_entries(nb.scored_entries(nb.entry_stats(entries, refs, own), own), own).persist()
+    scored = nb.scored_entries(nb.entry_stats(entries, refs, own), own).persist()
+    ranked = nb.ranked_entries(scored, own).persist()
     return ranked, nb.corpus_scores(ranked, own, compat)

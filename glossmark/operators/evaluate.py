@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from glossmark.operators import corpus
 from glossmark.operators.metrics import load
 from glossmark.operators.metrics.base import Metric
+from glossmark.operators.ranking import number_rows
 
 RUN = ["sys_id", "opt_id"]
 
@@ -86,8 +87,9 @@ def diff_rank(stats: DataFrame, metrics: list[Metric], by_run: DataFrame, baseli
     base = median.where(F.col("sys_id") == baseline).select("metric", "sent_id", F.col("score").alias("base"), *[F.col(c).alias(f"base_{c}") for c in kept if c == "hyp"])
     other = median.where(F.col("sys_id") != baseline)
     both = other.join(base, ["metric", "sent_id"]).withColumn("diff", F.col("score") - F.col("base"))
-    order = W.partitionBy("metric", "sys_id").orderBy(F.round("diff", 9).desc(), "sent_id")  # noise of the last digits is a tie
-    return both.withColumn("place", F.row_number().over(order))
+    gain = F.round("diff", 9).desc()  # noise of the last digits is a tie
+    ranked = number_rows(both, ["metric", "sys_id"], [gain, F.col("sent_id").asc()], "place")
+    return ranked.withColumn("place", F.col("place") + 1)
 
 
 def results(by_run: DataFrame) -> DataFrame:

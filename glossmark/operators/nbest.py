@@ -10,6 +10,7 @@ from glossmark.functions.text import normalize_ws
 from glossmark.operators import corpus
 from glossmark.operators.evaluate import add_stats
 from glossmark.operators.metrics.base import Metric
+from glossmark.operators.ranking import number_rows
 
 
 def entries(nbest: DataFrame) -> DataFrame:
@@ -45,10 +46,13 @@ def _order(metrics: list[Metric], k: int) -> list[Column]:
 
 
 def ranked_entries(scored: DataFrame, metrics: list[Metric]) -> DataFrame:
-    """``<metric>_rank`` from 0, and the size of each list. All windows share one shuffle by sentence."""
-    own = W.partitionBy("sent_id")
-    ranks = {f"{m.name}_rank": F.row_number().over(own.orderBy(*_order(metrics, k))) - 1 for k, m in enumerate(metrics)}
-    return scored.withColumns(ranks).withColumn("entries", F.count(F.lit(1)).over(own))
+    """``<metric>_rank`` from 0, and the size of each list. Lists of any size are ranked over all tasks."""
+    keys = ["sent_id", "orig_rank"]
+    ranks = scored.select(*keys, *[m.name for m in metrics])
+    for k, m in enumerate(metrics):
+        ranks = number_rows(ranks, ["sent_id"], _order(metrics, k), f"{m.name}_rank")
+    sizes = scored.groupBy("sent_id").agg(F.count(F.lit(1)).alias("entries"))
+    return scored.join(ranks.select(*keys, *[f"{m.name}_rank" for m in metrics]), keys).join(sizes, "sent_id")
 
 
 def corpus_scores(ranked: DataFrame, metrics: list[Metric], compat: bool = False) -> DataFrame:

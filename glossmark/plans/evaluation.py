@@ -199,7 +199,7 @@ def ascii_table(spark: SparkSession, folder: str) -> DataFrame:
 def _ranked(spark: SparkSession, folder: str, metrics: str = BL) -> DataFrame:
     own = load(metrics)
     stats = nbest.entry_stats(table(spark, folder, "nbest"), table(spark, folder, "refs"), own)
-    return nbest.ranked_entries(nbest.scored_entries(stats, own), own)
+    return nbest.ranked_entries(nbest.scored_entries(stats, own).persist(), own)
 
 
 def nbest_rank(spark: SparkSession, folder: str) -> DataFrame:

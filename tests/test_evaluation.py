@@ -187,3 +187,19 @@ def test_own_metric(spark):
     r = spark.createDataFrame([(0, 0, "x"), (1, 0, "x")], "sent_id long, ref_id int, ref string")
     m = load("vowels")
     assert evaluate.scores_by_run(evaluate.suff_stats(h, r, m), m).first().score == 3.0
+
+
+def test_numbers_over_tasks(spark):
+    """A group with a third of all rows, and small ones, over more tasks than groups."""
+    from glossmark.operators.ranking import number_rows
+
+    rng = random.Random(8)
+    rows = [(rng.choice([0, 0, 0, 0, 1, 2, 3]), rng.randint(0, 50), i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "g int, s int, id int")
+    got = {r.id: r.k for r in number_rows(df, ["g"], [F.desc("s"), F.asc("id")], "k").collect()}
+    want = {}
+    for g in range(4):
+        for k, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))):
+            want[r[2]] = k
+    assert got == want
+    assert number_rows(df.limit(0), ["g"], [F.asc("s")], "k").collect() == []
