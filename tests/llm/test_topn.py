@@ -29,7 +29,7 @@ def brute(rows, n, bigger):
     for g, s, t in rows:
         if g is not None and s is not None and s == s:
             groups.setdefault(g, []).append((-s if bigger else s, t is None, t or 0))
-    return sorted((g, None if x[1] else x[2]) for g, v in groups.items() for x in sorted(v)[:n])
+    return sorted(((g, None if x[1] else x[2]) for g, v in groups.items() for x in sorted(v)[:n]), key=str)
 
 
 def test_top(spark, monkeypatch):
@@ -41,7 +41,7 @@ def test_top(spark, monkeypatch):
     df = spark.createDataFrame(rows, "g int, s double, t int").withColumn("k0", F.lit("clash")).withColumn("bucket", F.lit(1))
     for n, bigger in ((5, True), (1, False), (300, True)):
         got = topn.top_n(df, ["g"], F.col("s"), ["t"], n, bigger, buckets=3, runs=4).collect()
-        assert sorted(((r.g, r.t) for r in got), key=str) == sorted(brute(rows, n, bigger), key=str)
+        assert sorted(((r.g, r.t) for r in got), key=str) == brute(rows, n, bigger)
     assert topn.top_n(df.limit(0), ["g"], F.col("s"), ["t"], 3).collect() == []
 
 
