@@ -83,6 +83,14 @@ d AS (SELECT *, NOT regexp_full_match(sid, '[0-9]+') OR length(ltrim(sid, '0'))
   NOT regexp_full_match(tot, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?')
     OR coalesce(abs(TRY_CAST(tot AS DOUBLE)), 'inf'::DOUBLE) >= 3.4028235677973366e38 AS bad_tot FROM c)"""
 
+
+
+def _field(k: int) -> str:
+    """Field k, from the quoted texts if it is one of them."""
+    nth = f"len(list_filter(parts[1:{k}], lambda x: x = chr(30)))"
+    return f"""CASE WHEN parts[{k}] = chr(30) THEN replace(replace(quoted[{nth}], '""', '"'), chr(31), ' ||| ') ELSE parts[{k}] END"""
+
+
 SQL = {
     "p2_found": f"WITH {_PAIRS} SELECT entry_id, feat FROM typed GROUP BY entry_id, feat "
     "HAVING count(*) > count(canon) OR min(canon) <> max(canon)",
@@ -94,6 +102,9 @@ SELECT entry_id, max(CASE WHEN feat = 'Lm' THEN TRY_CAST(value AS DOUBLE) END) A
   bool_or(CASE WHEN feat = 'Pruned' THEN TRY_CAST(value AS BOOLEAN) END) AS "feat_Pruned",
   max(CASE WHEN feat = 'Domain' THEN value END) AS "feat_Domain"
 FROM won GROUP BY entry_id""",
+    "p4_valid": f"""WITH {_PARSED}, q AS (SELECT d.*, regexp_extract_all(b.s, '(?:^|\\x1f)"((?:[^"]|"")*)"', 1) AS quoted FROM d JOIN b USING (line_id)
+  WHERE broken IS NULL AND NOT bad_sid AND NOT bad_tot)
+SELECT line_id, sid::INT AS sent_id, {_field(2)} AS hyp, {_field(3)} AS feats, tot::FLOAT AS total FROM q""",
     "p4_found": f"""WITH {_PARSED}
 SELECT line_id, broken AS fault FROM d WHERE broken IS NOT NULL
 UNION ALL SELECT line_id, 'sent_id' FROM d WHERE broken IS NULL AND bad_sid
