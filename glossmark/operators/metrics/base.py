@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def python_tasks(df: DataFrame) -> int:
+    """Tasks for long work per row: several per core, and no fewer than a shuffle has."""
+    spark = df.sparkSession
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 class Metric(ABC):
     """A metric of one's own defines these.
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmark.functions.numeric import ratio
-from glossmark.operators.metrics.base import Metric
+from glossmark.operators.metrics.base import Metric, python_tasks
 
 STAGES = ("exact", "stem", "synonym")
 # Endings that the plain stemmer takes off.
@@ -117,7 +117,6 @@ class Meteor(Metric):
 
     def _rows(self, sentences: DataFrame, with_words: bool) -> DataFrame:
         pairs = sentences.select("hyp", "refs").distinct()
-        cores = sentences.sparkSession.sparkContext.defaultParallelism
         names, sentence = list(self.stats), self.sentence
 
         def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,7 +129,7 @@ class Meteor(Metric):
 
         schema = "hyp string, refs array<string>, " + ", ".join(f"{n} bigint" for n in names)
         schema += ", left_hyp array<string>, left_ref array<string>" if with_words else ""
-        done = pairs.repartition(4 * cores, "hyp", "refs").mapInPandas(rows, schema)
+        done = pairs.repartition(python_tasks(pairs), "hyp", "refs").mapInPandas(rows, schema)
         return sentences.join(done, ["hyp", "refs"])
 
     def add_stats(self, sentences: DataFrame) -> DataFrame:

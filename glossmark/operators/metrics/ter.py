@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmark.functions.numeric import ratio
-from glossmark.operators.metrics.base import Metric
+from glossmark.operators.metrics.base import Metric, python_tasks
 
 MAX_BLOCK = 10
 # ASCII punctuation that is left out if punctuation does not count.
@@ -171,7 +171,6 @@ class Ter(Metric):
     def add_stats(self, sentences: DataFrame) -> DataFrame:
         """Equal pairs of a text and its references are worked out once."""
         pairs = sentences.select("hyp", "refs").distinct()
-        cores = sentences.sparkSession.sparkContext.defaultParallelism
         count = self.sentence
 
         def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,8 +178,7 @@ class Ter(Metric):
                 got = [count(h, list(r)) for h, r in zip(pdf["hyp"], pdf["refs"])]
                 yield pdf.assign(ter_edits=[g[0] for g in got], ter_words=[g[1] for g in got])
 
-        spread = pairs.repartition(4 * cores, "hyp", "refs") if cores > 1 else pairs
-        done = spread.mapInPandas(rows, "hyp string, refs array<string>, ter_edits bigint, ter_words bigint")
+        done = pairs.repartition(python_tasks(pairs), "hyp", "refs").mapInPandas(rows, "hyp string, refs array<string>, ter_edits bigint, ter_words bigint")
         return sentences.join(done, ["hyp", "refs"])
 
     def score(self) -> Column:
