@@ -3,8 +3,8 @@
 Every distinct clean word of the corpus is encoded and misread under every chain of encodings that is known to
 happen, also twice, with losses, and lower-cased afterwards. The garbled forms are hash-joined with the distinct
 suspect tokens: those of the searched texts that are no clean words, nor clean words in disguise (full-width
-forms, look-alike letters). A match is verified by what it is made of, see ``judge``, and its original replaces
-the token. Tokens that no clean word explains, but that hold a trace only misreading leaves (U+FFFD, or units
+forms, look-alike letters). A match is verified by what it is made of, see ``judge``, or by the row it stands in,
+see ``row_verified``, and its original replaces the token. Tokens that no clean word explains, but that hold a trace only misreading leaves (U+FFFD, or units
 that read as proper UTF-8 again), are told too, with the original where it can be read back without loss.
 
 The table of forms is never stored whole: generating tasks emit the forms that a bitmap of the suspects lets
@@ -29,6 +29,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -202,7 +203,8 @@ def judge(token: str, original: str, chain: str, multi: bool, units: int, truste
 
     Several characters for one, of UTF-8, hardly come about by chance, unless a single ideograph stands for a
     single letter. One character for one is believed in a token that is not made like a word, or in a longer
-    word with several such characters and nothing else done to it; a lone character is not enough.
+    word with several such characters and nothing else done to it; a lone character is not enough. Other matches
+    with trusted words are left to their rows.
     """
     lone = len(token) == 1
     if multi:
@@ -214,6 +216,28 @@ def judge(token: str, original: str, chain: str, multi: bool, units: int, truste
     return 1 if trusted and len(original) >= 4 and (units >= 2 or len(original) >= 5) and not chain.endswith("+lower") else 0
 
 
+def script(word: str) -> str | None:
+    """The one script of a word's letters; None if there are several or none."""
+    found = {k for k in map(_kind, word) if k not in ("mark", "digit", "joint", "other")}
+    return found.pop() if len(found) == 1 else None
+
+
+def evidence(token: str, original: str | None, text: str) -> int:
+    """What a text tells about a doubtful match: 2 is enough, 1 counts beside another of the same chain.
+
+    2: the original has the script of most letters of the text's other words, and the token another script. A lone
+    character counts for nothing, nor does a token in capitals where all is in capitals.
+    """
+    if original is None or len(token) == 1:
+        return 0
+    own = script(original)
+    if own is not None and script(token) not in (None, own):
+        others = [_kind(c) for w in re.split(r"[\t\n\x0b\x0c\r ]+", text) if w != token for c in w if c.isalpha()]
+        if 2 * others.count(own) > len(others):
+            return 2
+    return 0 if token == token.upper() and text == text.upper() else 1
+
+
 def _letters_beyond_ascii(text: Column) -> Column:
     return F.length(text) != F.octet_length(text)
 
@@ -322,8 +346,8 @@ def _traced(tokens: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["original", "chain"])
 
 
-def garbled_tokens(texts: DataFrame, clean: list[tuple[DataFrame, str]], col: str, bits: int = BITS) -> DataFrame:
-    """(token, original, chain) of every garbled token; original is null where several words, or none, fit."""
+def matches(texts: DataFrame, clean: list[tuple[DataFrame, str]], col: str, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """(suspects, their matches with forms of words, each with its weight)."""
     words, suspects = vocabulary(texts, clean, col)
     suspects = suspects.persist()
     spark = texts.sparkSession
@@ -332,17 +356,22 @@ def garbled_tokens(texts: DataFrame, clean: list[tuple[DataFrame, str]], col: st
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     forms = words.repartition(tasks, "word").mapInPandas(_form_rows(lets, bits - 1), FORMS)
     found = forms.join(suspects.select("token"), "token").withColumn("weight", _judged("token", "original", "chain", "multi", "units", "trusted"))
+    return suspects, found.persist()
+
+
+def _original() -> Column:
+    """A form with losses may come of several words; of none for certain."""
+    return F.when(~F.col("token").contains("�") | (F.col("least") == F.col("most")), F.col("best.original")).alias("original")
+
+
+def garbled_tokens(suspects: DataFrame, found: DataFrame) -> DataFrame:
+    """(token, original, chain) of every token garbled wherever it stands; original is null where several words, or none, fit."""
     rank = F.struct("weight", F.col("trusted").cast("int"), F.negative("place"), "original", "chain")
     best = (
         found.where("weight > 0")
         .groupBy("token")
         .agg(F.max(rank).alias("best"), F.min("original").alias("least"), F.max("original").alias("most"))
-        .select(
-            "token",
-            # A form with losses may come of several words; of none for certain.
-            F.when(~F.col("token").contains("�") | (F.col("least") == F.col("most")), F.col("best.original")).alias("original"),
-            F.col("best.chain").alias("chain"),
-        )
+        .select("token", _original(), F.col("best.chain").alias("chain"))
     )
     told = suspects.join(best, "token", "left")
     told = told.withColumn("t", _traced(F.when(F.col("chain").isNull() & ~F.col("natural"), F.col("token"))))
@@ -351,6 +380,45 @@ def garbled_tokens(texts: DataFrame, clean: list[tuple[DataFrame, str]], col: st
     ).where("chain IS NOT NULL")
 
 
+@F.pandas_udf(T.IntegerType())
+def _evidence(token: pd.Series, original: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([evidence(*x) for x in zip(token, original, text)], dtype="int32")
+
+
+def _of_tokens(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The rows joined with the tokens they hold.
+
+    Most rows are sorted out before the shuffle, by a part of the token's hash: at most HASHES numbers are broadcast.
+    """
+    part = F.xxhash64("token").bitwiseAND(HASHES - 1)
+    parts = F.broadcast(tokens.select(part.alias("part")).distinct())
+    return rows.withColumn("part", part).join(parts, "part", "left_semi").drop("part").join(tokens, "token")
+
+
+def row_verified(texts: DataFrame, tokens: DataFrame, found: DataFrame, id_col: str, col: str) -> DataFrame:
+    """(id, token, original, chain) of tokens that only their row shows to be garbled.
+
+    Asked are matches with trusted words that have no weight of their own, of tokens that are not told yet. They are
+    believed in a row whose other words are mostly of the original's script while the token is not, and in a row where
+    another token, verified without the row or by its script, has a match of the same chain, or two doubtful ones have.
+    """
+    base = F.regexp_replace("chain", r"[+]lower$", "").alias("base")
+    sure = found.where("weight > 0").select("token", F.lit(None).cast("string").alias("original"), F.lit(None).cast("string").alias("chain"), F.lit(0).alias("place"), base)
+    doubtful = found.where("weight = 0 AND trusted").join(tokens.select("token"), "token", "left_anti")
+    asked = doubtful.select("token", "original", "chain", "place", base).unionByName(sure).distinct()
+    # A row is known by its id and text: a null id may be that of many rows.
+    rows = texts.select(F.col(id_col).alias("row_id"), F.xxhash64(col).alias("row_hash"), F.col(col).alias("text"), F.col(col).alias("words"))
+    spots = _of_tokens(_tokens(rows, "words", "row_id", "row_hash", "text"), asked).distinct()
+    spots = spots.withColumn("evidence", _evidence("token", "original", "text")).drop("text")
+    row_chain = W.partitionBy("row_id", "row_hash", "base")
+    vouched = F.max(F.col("original").isNull() | (F.col("evidence") == 2)).over(row_chain)
+    several = F.size(F.collect_set(F.when(F.col("evidence") > 0, F.col("token"))).over(row_chain)) > 1
+    spots = spots.withColumn("agrees", vouched | (several & (F.col("evidence") > 0))).where("original IS NOT NULL AND (agrees OR evidence = 2)")
+    rank = F.struct(F.col("agrees").cast("int") + F.col("evidence"), F.negative("place"), "original", "chain")
+    best = spots.groupBy("row_id", "row_hash", "token").agg(F.max(rank).alias("best"), F.min("original").alias("least"), F.max("original").alias("most"))
+    return best.select(F.col("row_id").alias(id_col), "token", _original(), F.col("best.chain").alias("chain"))
+
+
 def _long_tokens(texts: DataFrame, id_col: str, col: str) -> DataFrame:
     long = _tokens(texts, col, id_col).where(F.length("token") > MAX_TOKEN)
     return long.withColumn("t", _traced("token")).select(id_col, "token", "t.original", "t.chain").where("chain IS NOT NULL")
@@ -359,13 +427,10 @@ def _long_tokens(texts: DataFrame, id_col: str, col: str) -> DataFrame:
 def garbled_entries(texts: DataFrame, clean: list[tuple[DataFrame, str]], id_col: str, col: str) -> DataFrame:
     """(id, token, original, chain) of every garbled token of every row."""
     texts = texts.select(id_col, col)
-    tokens = garbled_tokens(texts, clean, col).persist()
-    # Most tokens are sorted out before the shuffle, by a part of their hash: at most HASHES numbers are broadcast.
-    part = F.xxhash64("token").bitwiseAND(HASHES - 1)
-    parts = F.broadcast(tokens.select(part.alias("part")).distinct())
-    short = _tokens(texts, col, id_col).where(F.length("token") <= MAX_TOKEN)
-    short = short.withColumn("part", part).join(parts, "part", "left_semi").join(tokens, "token")
-    return short.select(id_col, "token", "original", "chain").unionByName(_long_tokens(texts, id_col, col))
+    suspects, found = matches(texts, clean, col)
+    tokens = garbled_tokens(suspects, found).persist()
+    short = _of_tokens(_tokens(texts, col, id_col).where(F.length("token") <= MAX_TOKEN), tokens).select(id_col, "token", "original", "chain")
+    return short.unionByName(row_verified(texts, tokens, found, id_col, col)).unionByName(_long_tokens(texts, id_col, col))
 
 
 @F.pandas_udf(T.StringType())

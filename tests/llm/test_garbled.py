@@ -50,3 +50,24 @@ def test_tables(spark):
     assert {k: v for k, v in got.items() if k in truth} == {k: (v, True) for k, v in truth.items()}
     assert set(got) - set(truth) == {502, None} and got[502][0] in ("valópli", "val�pli") and got[None][0] == "valópli"
     assert G.garbled_entries(texts.limit(0), clean, "entry_id", "hyp").collect() == []
+
+
+def test_short_words_by_their_row(spark):
+    """Short garbled words look like words; the script of their row, or a chain found beside them, tells them."""
+    clean = [(spark.createDataFrame([("от бы как у и что они на от гирэй кежетен каводуть стюпря было авый vět uče πρηβά θα σώ να το",)], "w string"), "w")]
+    rows = [
+        (1, "гирэй кежетен îò стюпря áû , ó"), (2, "было авый îò стюпря"), (3, "было êàê стюпря"), (4, "πρηβά èá σώ να το"),
+        (5, "êàê îò"), (6, "the word îò stands alone"), (7, "было ó стюпря"), (8, "каводуть РєР°Рє было Рё"),
+        (9, "vìt ale na uèe levavát"), (10, "vìt ale na levavát"), (11, "ЭТО МЮ БЫЛО НР"), (12, "это МЮ было НР"),
+        (None, "было îò"), (None, "the îò"),
+    ]
+    texts = spark.createDataFrame(rows, "entry_id long, hyp string")
+    got = G.garbled_entries(texts, clean, "entry_id", "hyp").collect()
+    told = {(r.entry_id, r.token): r.original for r in got}
+    assert {k: v for k, v in told.items() if k[0] != 8} == {
+        (1, "îò"): "от", (1, "áû"): "бы", (1, "ó"): "у", (2, "îò"): "от", (3, "êàê"): "как", (4, "èá"): "θα", (None, "îò"): "от",
+        (5, "êàê"): "как", (5, "îò"): "от", (9, "vìt"): "vět", (9, "uèe"): "uče", (12, "МЮ"): "на", (12, "НР"): "от",
+    }
+    assert told[8, "РєР°Рє"] == "как" and told[8, "Рё"] == "и"
+    assert sum(r.entry_id is None for r in got) == 1
+    assert G.restored(texts, clean, "entry_id", "hyp").where("entry_id = 1").first().restored == "гирэй кежетен от стюпря бы , у"
