@@ -10,12 +10,14 @@ Defined results: blanks around a value are ignored; a null value, and a token wi
 empty value fits no type; a name without a definition is a ``string``; names compare exactly. Of several
 different typed values that from the tokens wins, then the latest loaded, then the greatest in text order.
 Repeated rows change nothing. Rows of a null entity form one entity of their own. Other columns of the inputs
-are not looked at. An empty table gives an empty result.
+are not looked at. An entity without any pair has a row of nulls where the entities are given. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,20 +125,30 @@ def other_names(pairs: DataFrame, kinds: dict[str, str]) -> dict[str, str]:
     return {n: "string" for n in found[:room]}
 
 
-def entity_maps(resolved: DataFrame, kinds: dict[str, str]) -> DataFrame:
+def entities(*frames: DataFrame, entity: str) -> DataFrame:
+    """(entity) of every row of the frames, also of those without a pair."""
+    every = [f.select(F.col(f"`{entity}`").alias("entity")) for f in frames]
+    return reduce(DataFrame.unionByName, every)
+
+
+def entity_maps(resolved: DataFrame, kinds: dict[str, str], entities: DataFrame | None = None) -> DataFrame:
     """Maps of an entity's resolved names: attrs of their values, faults of the texts that failed.
 
     The row of part 0 has the names in ``kinds``, so it is bounded by their number. Other names are spread
-    over parts by their hash, so that an entity with very many of them is never gathered into one row.
+    over parts by their hash, so that an entity with very many of them is never gathered into one row. Each of
+    ``entities`` has a row of part 0, be its maps empty.
     """
+    if entities is not None:
+        resolved = resolved.unionByName(entities, allowMissingColumns=True)
     part = (1 + F.pmod(F.xxhash64("feat"), F.lit(PARTS))).cast("int")
     part = F.when(F.col("feat").isin(*kinds), 0).otherwise(part) if kinds else part
+    part = F.when(F.col("feat").isNull(), 0).otherwise(part)
     faulty = F.col("failed").isNotNull() | F.coalesce(F.col("differs"), F.lit(False))
     return (
         resolved.withColumn("part", part)
         .groupBy("entity", "part")
         .agg(
-            F.map_from_entries(F.collect_list(F.struct("feat", "value"))).alias("attrs"),
+            F.map_from_entries(F.collect_list(F.when(F.col("feat").isNotNull(), F.struct("feat", "value")))).alias("attrs"),
             F.map_from_entries(F.collect_list(F.when(faulty, F.struct("feat", "failed")))).alias("faults"),
         )
     )

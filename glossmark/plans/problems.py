@@ -15,6 +15,10 @@ def _feature_pairs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     return tokens, rows, kinds
 
 
+def _entries(spark: SparkSession, folder: str) -> DataFrame:
+    return wide.entities(table(spark, folder, "nbest"), table(spark, folder, "feat_rows"), entity="entry_id")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     tokens, rows, kinds = _feature_pairs(spark, folder)
     maps = wide.entity_maps(wide.entity_pairs(tokens, rows, kinds), kinds)
@@ -25,7 +29,7 @@ def p2_wide(spark: SparkSession, folder: str) -> DataFrame:
     tokens, rows, kinds = _feature_pairs(spark, folder)
     every = tokens.select("feat", "val").unionByName(rows.select("feat", "val"))
     kinds = kinds | wide.other_names(every, kinds)
-    maps = wide.entity_maps(wide.entity_pairs(tokens, rows, kinds), kinds)
+    maps = wide.entity_maps(wide.entity_pairs(tokens, rows, kinds), kinds, _entries(spark, folder))
     return wide.typed_columns(maps, kinds, "entry_id")
 
 
@@ -34,7 +38,7 @@ def p2_wide_known(spark: SparkSession, folder: str) -> DataFrame:
     tokens, rows, kinds = _feature_pairs(spark, folder)
     kept = {k: kinds[k] for k in ("Lm", "LmOov", "Pruned", "Domain")}
     wanted = tokens.where(tokens.feat.isin(*kept)), rows.where(rows.feat.isin(*kept))
-    maps = wide.entity_maps(wide.entity_pairs(*wanted, kept), kept)
+    maps = wide.entity_maps(wide.entity_pairs(*wanted, kept), kept, _entries(spark, folder))
     return wide.typed_columns(maps, kept, "entry_id").drop("faults")
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossmark.operators import badrows, wide
+from glossmark.plans import problems
 
 LINES = {
     "0 ||| a ||| f=1 ||| -1.5": [],
@@ -88,3 +89,21 @@ def test_hot_entity(spark):
     maps = wide.entity_maps(wide.entity_pairs(None, rows, {"n0": "string"}), {"n0": "string"})
     sizes = [r[0] for r in maps.select(F.size("attrs")).collect()]
     assert sum(sizes) == 3000 and max(sizes) < 200
+
+
+def test_entry_without_features(spark, tmp_path):
+    """Every entry has one row, with features or without, with the names of a fixed schema or others."""
+    nbest = [(1, "Lm=1.5 X=a"), (2, None), (3, ""), (4, "X=b"), (1, "Lm=1.5")]
+    rows = [(5, "X", "c", None), (6, "X", None, None), (7, None, "x", None), (2, "Pruned", "true", None)]
+    defs = [("Lm", "double"), ("LmOov", "int"), ("Pruned", "boolean"), ("Domain", "string")]
+    spark.createDataFrame(nbest, "entry_id long, feats string").write.parquet(f"{tmp_path}/nbest.parquet")
+    spark.createDataFrame(rows, "entry_id long, feat string, val string, loaded_at timestamp_ntz").write.parquet(f"{tmp_path}/feat_rows.parquet")
+    spark.createDataFrame(defs, "feat string, value_type string").write.parquet(f"{tmp_path}/feat_defs.parquet")
+    for query in (problems.p2_wide, problems.p2_wide_known):
+        got = query(spark, str(tmp_path)).collect()
+        assert sorted(r.entry_id for r in got) == [1, 2, 3, 4, 5, 6, 7], query.__name__
+        by_id = {r.entry_id: r for r in got}
+        assert by_id[1].feat_Lm == 1.5 and by_id[2].feat_Pruned is True and by_id[3].feat_Lm is None
+    assert {r.entry_id: (r.feat_X, r.faults) for r in problems.p2_wide(spark, str(tmp_path)).collect()} == {
+        1: ("a", {}), 2: (None, {}), 3: (None, {}), 4: ("b", {}), 5: ("c", {}), 6: (None, {}), 7: (None, {}),
+    }
