@@ -4,7 +4,7 @@ Pairs come from two places: ``name=value`` tokens in a text column, and rows. Th
 (entity, attribute) with a mergeable aggregate, so that a hot entity shrinks before it is shuffled; the
 resolved pairs of an entity are then gathered into one map, from which the known names are projected into
 typed columns. Values that fail their cast, and names with two different typed values, are retained.
-Names beyond MAX_COLUMNS get no column; they stay in the maps of the parts after 0.
+Names beyond MAX_COLUMNS get no column; they stay in the maps of the parts after 0, which ``rest_maps`` returns.
 
 Defined results: blanks around a value are ignored; a null value, and a token without ``=``, give nothing; an
 empty value fits no type; a name without a definition is a ``string``; names compare exactly. Of several
@@ -116,7 +116,10 @@ def kinds_of(defs: DataFrame, name: str = "feat", kind: str = "value_type") -> d
 
 
 def other_names(pairs: DataFrame, kinds: dict[str, str]) -> dict[str, str]:
-    """The names in use that have no definition, as strings; at most what MAX_COLUMNS leaves."""
+    """The names in use that have no definition, as strings; at most what MAX_COLUMNS leaves, the first in text order.
+
+    The values of all others are in ``rest_maps``.
+    """
     room = MAX_COLUMNS - len(kinds)
     names = pairs.where(F.col("val").isNotNull()).select("feat").distinct()
     if kinds:
@@ -175,6 +178,11 @@ def typed_columns(maps: DataFrame, kinds: dict[str, str], entity: str) -> DataFr
     )
 
 
+def rest_maps(maps: DataFrame, entity: str) -> DataFrame:
+    """(entity, part, attrs, faults) of the names that have no column: what ``typed_columns`` leaves out."""
+    return maps.where(F.col("part") > 0).select(F.col("entity").alias(entity), "part", "attrs", "faults")
+
+
 def faulty_attributes(maps: DataFrame, entity: str) -> DataFrame:
     """Each name to which an entity gives a value that fails its type, or two different typed values."""
     return maps.select(F.col("entity").alias(entity), F.explode(F.map_keys("faults")).alias("feat"))

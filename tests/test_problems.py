@@ -107,3 +107,21 @@ def test_entry_without_features(spark, tmp_path):
     assert {r.entry_id: (r.feat_X, r.faults) for r in problems.p2_wide(spark, str(tmp_path)).collect()} == {
         1: ("a", {}), 2: (None, {}), 3: (None, {}), 4: ("b", {}), 5: ("c", {}), 6: (None, {}), 7: (None, {}),
     }
+
+
+def test_more_names_than_columns(spark, tmp_path, monkeypatch):
+    """Every pair comes out, in a column or beside the columns."""
+    monkeypatch.setattr(wide, "MAX_COLUMNS", 3)
+    nbest = [(i, f"D={i} n{i % 7}=v{i} m{i}=") for i in range(20)] + [(50, "n6=only")]
+    spark.createDataFrame(nbest, "entry_id long, feats string").write.parquet(f"{tmp_path}/nbest.parquet")
+    spark.createDataFrame([], "entry_id long, feat string, val string, loaded_at timestamp_ntz").write.parquet(f"{tmp_path}/feat_rows.parquet")
+    spark.createDataFrame([("D", "double")], "feat string, value_type string").write.parquet(f"{tmp_path}/feat_defs.parquet")
+    table = problems.p2_wide(spark, str(tmp_path))
+    assert len(table.columns) == 5
+    wide_rows, rest = table.collect(), problems.p2_wide_rest(spark, str(tmp_path)).collect()
+    assert sorted(r.entry_id for r in wide_rows) == [*range(20), 50]
+    attrs = {(r.entry_id, k): v for r in rest for k, v in r.attrs.items() if v is not None}
+    attrs |= {(r.entry_id, c.removeprefix("feat_")): v for r in wide_rows for c, v in r.asDict().items() if c.startswith("feat_n") and v is not None}
+    assert attrs == {(i, f"n{i % 7}"): f"v{i}" for i in range(20)} | {(50, "n6"): "only"}
+    faults = {(r.entry_id, k) for r in [*wide_rows, *rest] for k in r.faults}
+    assert faults == {(i, f"m{i}") for i in range(20)}
