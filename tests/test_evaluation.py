@@ -203,3 +203,26 @@ def test_numbers_over_tasks(spark):
             want[r[2]] = k
     assert got == want
     assert number_rows(df.limit(0), ["g"], [F.asc("s")], "k").collect() == []
+
+
+def test_queries_of_full_size(spark, tmp_path):
+    """The registered queries draw 10,000 times: p against all swaps there are, and the resampled deviation."""
+    from itertools import product
+
+    from glossmark.plans import evaluation
+
+    base, own, ref = [3, 5, 4, 6, 2, 7, 5, 4], [4, 5, 6, 7, 2, 9, 5, 3], 5
+    hyps = [(s, 0, i, " ".join("w" * n), None) for s, sizes in enumerate((base, own)) for i, n in enumerate(sizes)]
+    spark.createDataFrame(hyps, "sys_id int, opt_id int, sent_id long, hyp string, loaded_at timestamp_ntz").write.parquet(f"{tmp_path}/hypotheses.parquet")
+    refs = [(i, 0, " ".join("w" * ref), None) for i in range(len(base))]
+    spark.createDataFrame(refs, "sent_id long, ref_id int, ref string, loaded_at timestamp_ntz").write.parquet(f"{tmp_path}/refs.parquet")
+    got = next(r for r in evaluation.ar_sampled(spark, str(tmp_path)).collect() if r.metric == "length")
+    steps = [b - a for a, b in zip(base, own)]
+    all_swaps = [abs(sum(d if x else -d for d, x in zip(steps, swap))) > abs(sum(steps)) for swap in product((0, 1), repeat=len(steps))]
+    assert got.p == pytest.approx(sum(all_swaps) / len(all_swaps), abs=0.02)
+    assert got.p * 10_001 == pytest.approx(round(got.p * 10_001), abs=0.01)
+    boot = {r.sys_id: r for r in evaluation.bootstrap_sampled(spark, str(tmp_path)).collect() if r.metric == "length"}
+    for sys_id, sizes in enumerate((base, own)):
+        mean = sum(sizes) / len(sizes)
+        exact = 100 / ref * (sum((x - mean) ** 2 for x in sizes) / len(sizes) / len(sizes)) ** 0.5
+        assert boot[sys_id].resampled_stddev_avg == pytest.approx(exact, rel=0.04)
