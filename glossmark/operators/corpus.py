@@ -1,7 +1,8 @@
 """Sentences: outputs of systems and runs, joined with their references.
 
 Rows delivered again are resolved by the time they were loaded, the latest wins, then the text that is greatest; a
-null output counts as an empty one. Sentences without a reference drop out, as nothing can be scored for them.
+null output counts as an empty one. Sentences of tables that have no reference drop out, as nothing can be scored for
+them; ``check_complete`` and ``check_lists`` raise if there are such, and whole evaluations of files call them.
 """
 
 from __future__ import annotations
@@ -33,9 +34,27 @@ def references(refs: DataFrame) -> DataFrame:
     return one.groupBy("sent_id").agg(pairs["ref"].alias("refs"))
 
 
-def with_references(texts: DataFrame, refs: DataFrame) -> DataFrame:
-    """Texts with the arrays that the metrics need."""
-    joined = texts.join(references(refs), "sent_id")
+def python_tasks(df: DataFrame) -> int:
+    """Tasks for work in Python: several per core, and no fewer than a shuffle has."""
+    spark = df.sparkSession
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def with_references(texts: DataFrame, refs: DataFrame, long_lists: bool = False) -> DataFrame:
+    """Texts with the arrays that the metrics need.
+
+    A sentence has a text per run, so both sides are shuffled by sentence, once, into as many tasks as the metrics
+    want. With ``long_lists`` a sentence may have any number of texts: the join is left to adaptive execution, which
+    splits a hot sentence, and its texts are spread by what they say, equal ones to the same task.
+    """
+    own = references(refs)
+    if texts.isStreaming:
+        joined = texts.join(own, "sent_id")
+    elif long_lists:
+        joined = texts.join(own, "sent_id").repartition(python_tasks(texts), "sent_id", F.xxhash64("hyp"))
+    else:
+        tasks = python_tasks(texts)
+        joined = texts.repartition(tasks, "sent_id").join(own.repartition(tasks, "sent_id"), "sent_id")
     return joined.withColumn("hyp_tokens", tokenize(F.col("hyp"))).withColumn("ref_tokens", F.transform("refs", tokenize))
 
 
@@ -57,6 +76,14 @@ def check_complete(hypotheses: DataFrame, refs: DataFrame) -> None:
         raise ValueError("some sentences have no reference")
 
 
+def check_lists(entries: DataFrame, refs: DataFrame) -> None:
+    """Raise unless the references are those of the sentences 0 to the last that has a list."""
+    last = entries.agg(F.max("sent_id")).first()[0]
+    own = refs.agg(F.count_distinct("sent_id").alias("n"), F.max("sent_id").alias("last")).first()
+    if last is not None and (own["n"], own["last"]) != (last + 1, last):
+        raise ValueError(f"lists of {last + 1} sentences, but references of {own['n']}")
+
+
 def counts(hypotheses: DataFrame, refs: DataFrame) -> DataFrame:
     """Number of sentences, references, runs and systems, in one row."""
     h = outputs(hypotheses).agg(

@@ -3,15 +3,39 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+#: Results of equal rows that a task keeps at a time.
+KNOWN = 10_000
 
-def python_tasks(df: DataFrame) -> int:
-    """Tasks for long work per row: several per core, and no fewer than a shuffle has."""
-    spark = df.sparkSession
-    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+def row_stats(sentences: DataFrame, fields: list[T.StructField], work: Callable[[list, list], tuple]) -> DataFrame:
+    """``work(hyp_tokens, ref_tokens)`` of every row as new columns; of equal rows that meet in a task only once."""
+    schema = T.StructType([*sentences.schema.fields, *fields])
+    hyp, refs = sentences.columns.index("hyp_tokens"), sentences.columns.index("ref_tokens")
+    types = [to_arrow_type(f.dataType) for f in fields]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, tuple] = {}
+        for batch in batches:
+            got = []
+            for h, r in zip(batch.column(hyp).to_pylist(), batch.column(refs).to_pylist()):
+                key = (tuple(h), tuple(map(tuple, r)))
+                if key not in known:
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    known[key] = work(h, r)
+                got.append(known[key])
+            columns = [pa.array([g[i] for g in got], type=t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *[f.name for f in fields]])
+
+    return sentences.mapInArrow(rows, schema)
 
 
 class Metric(ABC):

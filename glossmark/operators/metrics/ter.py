@@ -1,7 +1,8 @@
 """Translation error rate: edits with shifts of blocks, over the mean length of the references.
 
-After Snover et al., 2006: while it helps, the block shift that lowers the edit distance most is made. A block
-must equal words of the reference at the place it moves to, and both must hold words that are not aligned yet.
+After Snover et al., 2006: while it does not cost more than it gains, the block shift that lowers the edit distance most
+is made. A block must equal words of the reference at the place it moves to, and both must hold words that are not
+aligned yet. Empty tokens are no words.
 """
 
 from __future__ import annotations
@@ -9,14 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glossmark.functions.numeric import ratio
-from glossmark.operators.metrics.base import Metric, python_tasks
+from glossmark.operators.metrics.base import Metric, row_stats
 
-MAX_BLOCK = 10
 # ASCII punctuation that is left out if punctuation does not count.
 PUNCTUATION = set(".,?:;!\"()")
 
@@ -98,7 +98,7 @@ class Distance:
         return hyp_ok, ref_ok, place
 
 
-def _shifts(hyp: list[str], distance: Distance, far: int) -> Iterator[tuple[int, int, int]]:
+def _shifts(hyp: list[str], distance: Distance, far: int, longest: int | None) -> Iterator[tuple[int, int, int]]:
     """Blocks (begin, end) that may move, and the place each may move to: before which word of the rest."""
     ref = distance.ref
     hyp_ok, ref_ok, place = distance.alignment(hyp)
@@ -109,7 +109,7 @@ def _shifts(hyp: list[str], distance: Distance, far: int) -> Iterator[tuple[int,
         for j in at.get(hyp[b], ()):
             n = 0
             wrong_hyp = wrong_ref = False
-            while n < MAX_BLOCK and b + n < len(hyp) and j + n < len(ref) and hyp[b + n] == ref[j + n]:
+            while n != longest and b + n < len(hyp) and j + n < len(ref) and hyp[b + n] == ref[j + n]:
                 wrong_hyp |= not hyp_ok[b + n]
                 wrong_ref |= not ref_ok[j + n]
                 n += 1
@@ -122,64 +122,60 @@ def _shifts(hyp: list[str], distance: Distance, far: int) -> Iterator[tuple[int,
                         yield b, b + n, after + 1
 
 
-def edits(hyp: list[str], ref: list[str], costs: Costs = Costs(), far: int = 50) -> float:
-    """Edit cost with shifts of at most ``far`` words' distance. Distances are exact, so no beam is needed."""
+def edits(hyp: list[str], ref: list[str], costs: Costs = Costs(), far: int = 50, longest: int | None = 10) -> float:
+    """Edit cost with shifts of blocks of at most ``longest`` words over at most ``far`` words.
+
+    The shift that lowers the distance most is made, if it lowers it by no less than it costs: one that gains nothing
+    by itself may make room for the next. Of equal ones the longest block goes, then the first, then to the first place.
+    Distances are exact, so no beam is needed.
+    """
     distance = Distance(ref, costs)
     hyp = list(hyp)
-    best = distance.of(hyp)
-    spent = 0.0
-    while best > 0:
-        found, lowest, size = None, best - costs.shift, 0
-        tried: set[tuple[int, int, int]] = set()
-        for b, e, to in _shifts(hyp, distance, far):
-            if (b, e, to) in tried:
-                continue
-            tried.add((b, e, to))
+    now, spent = distance.of(hyp), 0.0
+    while now > 0:
+        best: tuple | None = None
+        for b, e, to in set(_shifts(hyp, distance, far, longest)):
             block = hyp[b:e]
             moved = hyp[:to] + block + hyp[to:b] + hyp[e:] if to < b else hyp[:b] + hyp[e:to] + block + hyp[to:]
             d = distance.of(moved)
-            if d < lowest or (d == lowest and found is not None and e - b > size):
-                found, lowest, size = moved, d, e - b
-        if found is None:
+            if d < now and d + costs.shift <= now:
+                found = (-d, e - b, -b, -to)
+                if best is None or found > best[0]:
+                    best = found, moved
+        if best is None:
             break
-        hyp, best = found, lowest
+        now, hyp = -best[0][0], best[1]
         spent += costs.shift
-    return best + spent
+    return now + spent
 
 
 class Ter(Metric):
     name, label, bigger_better = "ter", "TER", False
     stats = ("ter_edits", "ter_words")
 
-    def __init__(self, punctuation: bool = True, max_shift_distance: int = 50, costs: Costs = Costs()):
+    def __init__(self, punctuation: bool = True, max_shift_distance: int = 50, costs: Costs = Costs(), max_block: int | None = 10, shifts: bool = True):
+        """``max_block``: words of the longest block that moves, None for any. Without ``shifts`` it is the word error rate."""
         self.punctuation, self.max_shift_distance, self.costs = punctuation, max_shift_distance, costs
+        self.max_block, self.shifts = max_block, shifts
 
     @property
     def description(self) -> str:
-        return "Translation error rate with block shifts"
-
-    def sentence(self, hyp: str, refs: list[str]) -> tuple[int, int]:
-        """Fewest edits over the references, and their mean length; both cut to whole numbers."""
+        return "Translation error rate with block shifts" if self.shifts else "Word error rate"
 
-        def words(text: str) -> list[str]:
-            return [w for w in text.lower().split() if self.punctuation or w not in PUNCTUATION]
+    def words(self, tokens: list[str]) -> list[str]:
+        return [w for t in tokens if (w := t.lower()) and (self.punctuation or w not in PUNCTUATION)]
 
-        tokens, split = words(hyp), [words(r) for r in refs]
-        fewest = min(edits(tokens, r, self.costs, self.max_shift_distance) for r in split)
+    def sentence(self, hyp: list[str], refs: list[list[str]]) -> tuple[int, int]:
+        """Fewest edits over the references, and their mean length; both cut to whole numbers."""
+        tokens, split = self.words(hyp), [self.words(r) for r in refs]
+        if self.shifts:
+            fewest = min(edits(tokens, r, self.costs, self.max_shift_distance, self.max_block) for r in split)
+        else:
+            fewest = min(Distance(r, self.costs).of(tokens) for r in split)
         return int(fewest), int(sum(map(len, split)) / len(split))
 
     def add_stats(self, sentences: DataFrame) -> DataFrame:
-        """Equal pairs of a text and its references are worked out once."""
-        pairs = sentences.select("hyp", "refs").distinct()
-        count = self.sentence
-
-        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                got = [count(h, list(r)) for h, r in zip(pdf["hyp"], pdf["refs"])]
-                yield pdf.assign(ter_edits=[g[0] for g in got], ter_words=[g[1] for g in got])
-
-        done = pairs.repartition(python_tasks(pairs), "hyp", "refs").mapInPandas(rows, "hyp string, refs array<string>, ter_edits bigint, ter_words bigint")
-        return sentences.join(done, ["hyp", "refs"])
+        return row_stats(sentences, [T.StructField(c, T.LongType()) for c in self.stats], self.sentence)
 
     def score(self) -> Column:
         return 100.0 * ratio(F.col("ter_edits"), F.col("ter_words"))
