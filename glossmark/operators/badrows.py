@@ -1,7 +1,8 @@
 """Separate n-best lines that fail to parse from those that load, with every reason.
 
-A line is ``sentId ||| hyp ||| feats ||| total``. Each partition assembles its records quote-aware, reads
-each with the strict reader of Python's ``csv`` module, whose structural exceptions become the fault
+A record is ``sentId ||| hyp ||| feats ||| total``. Records of files are assembled quote-aware (``sources.text.
+quoted_records``): a quoted field may go on over line breaks. Rows of a table are records as they are. Each partition reads
+its records with the strict reader of Python's ``csv`` module, whose structural exceptions become the fault
 ``quoting``, and only then runs the typed constructors of the fields.
 
 Defined results: a null, empty or blank line has the fault ``field_count``; an empty ``hyp`` or ``feats``
@@ -31,6 +32,7 @@ FLOAT_LIMIT = 3.4028235677973366e38
 SCHEMA = "line_id bigint, line string, sent_id int, hyp string, feats string, total float, faults array<string>"
 
 _NUMBER = re.compile(r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
+_QUOTED = re.compile('"(?:[^"]+|"")*+"')
 _DIGITS = re.compile(r"[0-9]+")
 
 
@@ -57,6 +59,42 @@ def read_fields(line: str) -> list[str]:
     return [f.replace(sep, SEPARATOR).replace(cr, "\r").replace(lf, "\n") for f in fields]
 
 
+def quote_open(record: str) -> bool:
+    """Whether the record ends within a quoted field."""
+    at = 0
+    while True:
+        if record.startswith('"', at):
+            closed = _QUOTED.match(record, at)
+            if closed is None:
+                return True
+            at = closed.end()
+            if not record.startswith(SEPARATOR, at):
+                return False  # at the end, or broken
+        else:
+            at = record.find(SEPARATOR, at)
+            if at < 0:
+                return False
+        at += len(SEPARATOR)
+
+
+def assembled(lines: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """(number, text) of the records of a few lines: the first one is joined with those that its open quote needs.
+
+    If the quote is never closed, or what is joined is broken, every line stands for itself.
+    """
+    if len(lines) > 1 and quote_open(lines[0][1]):
+        record = lines[0][1]
+        for k, (_, line) in enumerate(lines[1:], 1):
+            record += "\n" + line
+            if '"' in line and not quote_open(record):
+                try:
+                    read_fields(record)
+                except csv.Error:
+                    break
+                return [(lines[0][0], record), *lines[k + 1 :]]
+    return lines
+
+
 def make_sent_id(text: str) -> int:
     s = text.strip(" \t")
     if not _DIGITS.fullmatch(s):

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glossmark.functions.text import normalize_ws
+from glossmark.functions.text import normalize_ws, two_decimals
 from glossmark.operators import corpus
 from glossmark.operators.evaluate import add_stats
 from glossmark.operators.metrics.base import Metric
-from glossmark.operators.ranking import number_rows
+from glossmark.operators.ranking import number_over_tasks, number_rows, parted, window_place
 
 
 def entries(nbest: DataFrame) -> DataFrame:
@@ -25,11 +25,11 @@ def entries(nbest: DataFrame) -> DataFrame:
 
 def number_entries(lines: DataFrame, group: str = "sent_id", order: str = "line_id") -> DataFrame:
     """``orig_rank``: place of each line within its list, from 0, in the order of the lines."""
-    return lines.withColumn("orig_rank", F.row_number().over(W.partitionBy(group).orderBy(order)) - 1)
+    return number_rows(lines, [group], [F.asc(order)], "orig_rank").withColumn("orig_rank", F.col("orig_rank").cast("int"))
 
 
 def entry_stats(nbest: DataFrame, refs: DataFrame, metrics: list[Metric]) -> DataFrame:
-    full = add_stats(corpus.with_references(entries(nbest), refs), metrics)
+    full = add_stats(corpus.with_references(entries(nbest), refs, long_lists=True), metrics)
     return full.select("sent_id", "orig_rank", "entry_id", "hyp", "feats", "total", *[c for m in metrics for c in m.stats])
 
 
@@ -46,18 +46,25 @@ def _order(metrics: list[Metric], k: int) -> list[Column]:
 
 
 def ranked_entries(scored: DataFrame, metrics: list[Metric]) -> DataFrame:
-    """``<metric>_rank`` from 0, and the size of each list. Lists of any size are ranked over all tasks."""
-    keys = ["sent_id", "orig_rank"]
-    ranks = scored.select(*keys, *[m.name for m in metrics])
-    for k, m in enumerate(metrics):
-        ranks = number_rows(ranks, ["sent_id"], _order(metrics, k), f"{m.name}_rank")
-    sizes = scored.groupBy("sent_id").agg(F.count(F.lit(1)).alias("entries"))
-    return scored.join(ranks.select(*keys, *[f"{m.name}_rank" for m in metrics]), keys).join(sizes, "sent_id")
-
-
-def corpus_scores(ranked: DataFrame, metrics: list[Metric], compat: bool = False) -> DataFrame:
+    """``<metric>_rank`` from 0, and the size of each list. Lists too long for a task are ranked over all tasks."""
+    keys, names = ["sent_id", "orig_rank"], [f"{m.name}_rank" for m in metrics]
+    small, large = parted(scored, ["sent_id"])
+    places = [window_place(["sent_id"], _order(metrics, k)).alias(n) for k, n in enumerate(names)]
+    ranked = small.select("*", *places, F.count(F.lit(1)).over(W.partitionBy("sent_id")).alias("entries"))
+    if large is None:
+        return ranked
+    ranks = large.select(*keys, *[m.name for m in metrics])
+    for k, n in enumerate(names):
+        ranks = number_over_tasks(ranks, ["sent_id"], _order(metrics, k), n)
+    sizes = F.broadcast(large.groupBy("sent_id").agg(F.count(F.lit(1)).alias("entries")))  # a row per long list
+    return ranked.unionByName(large.join(ranks.select(*keys, *names), keys).join(sizes, "sent_id"))
+
+
+def corpus_scores(ranked: DataFrame, metrics: list[Metric], compat: bool = False, subscores: bool = False) -> DataFrame:
     """(metric, kind, score): corpus score of the best entry of each list, of the worst, and of the decoder's first.
 
+    With ``subscores`` also their submetrics, as text.
+
     With ``compat`` the decoder's first entry of a later metric is the best entry of the metric before it, as lists
     that are sorted again and again have it.
     """
@@ -73,13 +80,23 @@ def corpus_scores(ranked: DataFrame, metrics: list[Metric], compat: bool = False
     out = None
     for m, kind, _ in rows:
         own = one.select(*[F.col(f"{m.name}_{kind}_{c}").alias(c) for c in m.stats])
-        row = own.select(F.lit(m.name).alias("metric"), F.lit(kind).alias("kind"), m.score().alias("score"))
+        named = [F.concat(F.lit(f"{n}="), two_decimals(c)) for n, c in zip(m.submetrics, m.subscores())]
+        more = [F.concat_ws("; ", *named).alias("submetrics")] if subscores else []
+        row = own.select(F.lit(m.name).alias("metric"), F.lit(kind).alias("kind"), m.score().alias("score"), *more)
         out = row if out is None else out.unionByName(row)
     return out
 
 
-def entry_lines(scored: DataFrame, metrics: list[Metric]) -> DataFrame:
-    """Entries as lines of text, with scores and submetrics as ``name=value``."""
-    named = [F.concat(F.lit(f"{n}="), F.col(n).cast("string")) for m in metrics for n in (m.name, *m.submetrics)]
-    fields = [F.col("sent_id").cast("string"), F.col("hyp"), F.coalesce("feats", F.lit("")), F.coalesce(F.col("total").cast("string"), F.lit("")), F.concat_ws(" ", *named)]
-    return scored.select("sent_id", "orig_rank", F.concat_ws(" ||| ", *fields).alias("line"))
+def entry_lines(ranked: DataFrame, metrics: list[Metric], digits: int | None = None) -> DataFrame:
+    """(sent_id, orig_rank, line): ranked entries as lines of text.
+
+    ``id ||| text ||| features ||| total ||| origRank=… <metric>Rank=… ||| <metric>=… <submetric>=…``; scores have as
+    many ``digits`` as are asked for, by default all.
+    """
+    number = lambda n: F.col(n).cast("string") if digits is None else F.format_string(f"%.{digits}f", F.round(n, digits))
+    named = lambda n: F.concat(F.lit(f"{n}="), F.when(F.col(n).isNull(), F.lit("NaN")).otherwise(number(n)))
+    ranks = [F.concat(F.lit("origRank="), "orig_rank"), *[F.concat(F.lit(f"{m.name}Rank="), f"{m.name}_rank") for m in metrics]]
+    scores = [named(m.name) for m in metrics] + [named(s) for m in metrics for s in m.submetrics]
+    total = F.when(F.col("total").isNull(), F.lit("NaN")).otherwise(F.format_string("%.6f", F.col("total").cast("double")))
+    fields = [F.col("sent_id").cast("string"), F.col("hyp"), F.coalesce("feats", F.lit("")), total, F.concat_ws(" ", *ranks), F.concat_ws(" ", *scores)]
+    return ranked.select("sent_id", "orig_rank", F.concat_ws(" ||| ", *fields).alias("line"))

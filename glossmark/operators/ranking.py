@@ -1,8 +1,8 @@
 """Row numbers within groups of any size.
 
-A window gives a whole group to one task, which a group with a third of all rows does not bear. Here rows are sorted over
-all tasks by group and order; each task numbers its own stretch, and groups that go on from one task to the next
-(at most one per task) get the rows before them added.
+A window gives a whole group to one task, which a group with a third of all rows does not bear. Groups up to WINDOW rows
+are numbered by a window. The rows of larger ones are sorted over all tasks by group and order; each task numbers its own
+stretch, and groups that go on from one task to the next (at most one per task) get the rows before them added.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ from pyspark.sql import types as T
 from glossmark.session import shared_folder
 
 
+#: Rows of a group that one task numbers.
+WINDOW = 1_000_000
+
+
 def kept(df: DataFrame, what: str) -> DataFrame:
     """The frame as a table in the shared folder: its rows stay the same if an executor is lost."""
     folder = shared_folder(df.sparkSession, what)
@@ -51,8 +55,28 @@ def _numbered(group: list[int], names: list[str]):
     return rows
 
 
+def parted(df: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of groups that a task can number, rows of larger groups or None). The input is read once for the sizes."""
+    large = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WINDOW).select(*group)
+    if large.isEmpty():
+        return df, None
+    large = F.broadcast(large)  # of WINDOW rows or more each, so there are few
+    return df.join(large, group, "left_anti"), df.join(large, group, "left_semi")
+
+
+def window_place(group: list[str], order: list[Column]) -> Column:
+    return (F.row_number().over(W.partitionBy(*group).orderBy(*order)) - 1).cast("bigint")
+
+
 def number_rows(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
     """``name``: the place of each row in its group, from 0. Groups must not be null; the order should be total."""
+    small, large = parted(df, group)
+    small = small.select(*df.columns, window_place(group, order).alias(name))
+    return small if large is None else small.unionByName(number_over_tasks(large, group, order, name))
+
+
+def number_over_tasks(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """As number_rows, over all tasks whatever the groups' sizes."""
     keys = [*[F.col(g) for g in group], *order]
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
