@@ -1,23 +1,22 @@
 """Entity, attribute, value rows into one row per entity with typed columns.
 
-Pairs come from two places: ``name=value`` tokens in a text column, and rows. They are resolved per
-(entity, attribute) with a mergeable aggregate, so that a hot entity shrinks before it is shuffled; the
-resolved pairs of an entity are then gathered into one map, from which the known names are projected into
-typed columns. Values that fail their cast, and names with two different typed values, are retained.
+Pairs come from two places: ``name=value`` tokens in a text column, and rows. Rows are shuffled once, by entity and as
+they are; behind the shuffle the tokens are split, the pairs resolved per (entity, attribute), the resolved pairs of an
+entity gathered into one map, and the known names projected from it into typed columns. Values that fail their cast, and
+names with two different typed values, are retained. The pairs of an entity with more than HOT rows are resolved with a
+mergeable aggregate before they are shuffled, so that no task gets its rows.
 Names beyond MAX_COLUMNS get no column; they stay in the maps of the parts after 0, which ``rest_maps`` returns.
 
 Defined results: blanks around a value are ignored; a null value, and a token without ``=``, give nothing; an
 empty value fits no type; a name without a definition is a ``string``; names compare exactly. Of several
 different typed values that from the tokens wins, then the latest loaded, then the greatest in text order.
 Repeated rows change nothing. Rows of a null entity form one entity of their own. Other columns of the inputs
-are not looked at. An entity without any pair has a row of nulls where the entities are given. An empty table gives
-an empty result.
+are not looked at. An entity without any pair has a row of nulls. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,29 +25,45 @@ TYPES = {"double": "double", "int": "bigint", "boolean": "boolean", "string": "s
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 #: More definitions than this are refused: each is a column of the result.
 MAX_COLUMNS = 5000
+#: Rows of an entity that one task resolves; of an entity with more, each task resolves its own before the shuffle.
+HOT = 200_000
 #: Names without a definition are spread over so many rows of an entity.
 PARTS = 64
 
 
-def token_pairs(df: DataFrame, entity: str, text: str) -> DataFrame:
-    """(entity, feat, val) of each ``name=value`` token; the first ``=`` ends the name."""
-    token = F.explode(F.split(F.col(f"`{text}`"), r"[ \t]+"))
-    tokens = df.select(F.col(f"`{entity}`").alias("entity"), token.alias("token"))
-    at = F.instr("token", "=")
-    return tokens.where(at > 0).select(
-        "entity",
-        F.col("token").substr(F.lit(1), at - 1).alias("feat"),
-        F.col("token").substr(at + 1, F.length("token")).alias("val"),
-    )
+def text_rows(df: DataFrame, entity: str, text: str) -> DataFrame:
+    """Rows with ``name=value`` tokens, as (entity, text, feat, val, loaded)."""
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("feat", "string"), ("val", "string"), ("loaded", "timestamp_ntz"))]
+    return df.select(F.col(f"`{entity}`").alias("entity"), F.col(f"`{text}`").alias("text"), *none)
 
 
-def row_pairs(df: DataFrame, entity: str, name: str, value: str, loaded: str) -> DataFrame:
+def attribute_rows(df: DataFrame, entity: str, name: str, value: str, loaded: str) -> DataFrame:
+    """Rows of an attribute each, as (entity, text, feat, val, loaded)."""
     return df.select(
-        F.col(f"`{entity}`").alias("entity"),
-        F.col(f"`{name}`").alias("feat"),
-        F.col(f"`{value}`").alias("val"),
-        F.col(f"`{loaded}`").alias("loaded"),
-    ).where(F.col("feat").isNotNull())
+        F.col(f"`{entity}`").alias("entity"), F.lit(None).cast("string").alias("text"), F.col(f"`{name}`").alias("feat"),
+        F.col(f"`{value}`").alias("val"), F.col(f"`{loaded}`").cast("timestamp_ntz").alias("loaded"),
+    )
+
+
+def pairs_of(raw: DataFrame, every: bool = False) -> DataFrame:
+    """(entity, feat, val, loaded, first) of each row's pairs; with ``every`` also (entity, null) of each row."""
+    tokens = F.filter(F.split("text", r"[ \t]+"), lambda t: F.instr(t, "=") > 0)
+    none = F.array(F.lit(None).cast("string"))
+    each = raw.select("entity", "feat", "val", "loaded", F.explode(F.when(F.col("text").isNull(), none).otherwise(tokens)).alias("token"))
+    if every:
+        own = F.concat(F.array(F.lit("=")), F.when(F.col("text").isNull(), none).otherwise(tokens))  # a token without a name
+        each = raw.select("entity", "feat", "val", "loaded", F.posexplode(own).alias("at", "token"))
+        named = F.col("at") > 0
+        each = each.select("entity", *[F.when(named, F.col(c)).alias(c) for c in ("feat", "val", "loaded", "token")])
+    at = F.instr("token", "=")
+    of_token = F.col("token").isNotNull()
+    return each.select(
+        "entity",
+        F.when(of_token, F.col("token").substr(F.lit(1), at - 1)).otherwise(F.col("feat")).alias("feat"),
+        F.when(of_token, F.col("token").substr(at + 1, F.length("token"))).otherwise(F.col("val")).alias("val"),
+        "loaded",
+        of_token.cast("int").alias("first"),
+    )
 
 
 def canonical(kind: Column, value: Column) -> Column:
@@ -69,12 +84,15 @@ def canonical(kind: Column, value: Column) -> Column:
 def resolve_pairs(pairs: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """One row per (entity, feat): the winning typed value, a value that failed, and whether values differ.
 
-    min and max of the canonical texts tell whether there are two, so no set of values is gathered.
+    min and max of the canonical texts tell whether there are two, so no set of values is gathered. Pairs without a name
+    or value become one row without a name.
     """
-    known = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]) if kinds else None
-    kind = F.coalesce(F.try_element_at(known, F.col("feat")), F.lit("string")) if kinds else F.lit("string")
-    trimmed = pairs.where(F.col("val").isNotNull()).withColumn("val", F.regexp_replace("val", r"^\s+|\s+$", ""))
-    typed = trimmed.withColumn("canon", canonical(kind, F.col("val")))
+    spark = pairs.sparkSession
+    defs = F.broadcast(spark.createDataFrame([(k, v) for k, v in kinds.items()], "feat string, kind string"))  # at most MAX_COLUMNS
+    usable = F.col("feat").isNotNull() & F.col("val").isNotNull()
+    named = pairs.withColumn("feat", F.when(usable, F.col("feat"))).join(defs, "feat", "left")
+    trimmed = named.withColumn("val", F.when(usable, F.regexp_replace("val", r"^\s+|\s+$", "")))
+    typed = trimmed.withColumn("canon", canonical(F.coalesce("kind", F.lit("string")), F.col("val")))
     return typed.groupBy("entity", "feat").agg(
         F.max(F.when(F.col("canon").isNotNull(), F.struct("first", "loaded", "canon")))["canon"].alias("value"),
         F.min(F.when(F.col("canon").isNull(), F.col("val"))).alias("failed"),
@@ -82,19 +100,6 @@ def resolve_pairs(pairs: DataFrame, kinds: dict[str, str]) -> DataFrame:
     )
 
 
-def entity_pairs(
-    tokens: DataFrame | None, rows: DataFrame | None, kinds: dict[str, str]
-) -> DataFrame:
-    """Resolved pairs of both places; each frame has (entity, feat, val), rows also ``loaded``."""
-    parts = []
-    if tokens is not None:
-        parts.append(tokens.select("entity", "feat", "val", F.lit(None).cast("timestamp_ntz").alias("loaded"), F.lit(1).alias("first")))
-    if rows is not None:
-        parts.append(rows.select("entity", "feat", "val", F.col("loaded").cast("timestamp_ntz").alias("loaded"), F.lit(0).alias("first")))
-    pairs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return resolve_pairs(pairs, kinds)
-
-
 def column_name(feat: str) -> str:
     """``crf.Content`` becomes ``feat_crf_Content``."""
     return "feat_" + re.sub(r"\W", "_", feat)
@@ -115,34 +120,43 @@ def kinds_of(defs: DataFrame, name: str = "feat", kind: str = "value_type") -> d
     return {r["n"]: r["k"] for r in rows}
 
 
-def other_names(pairs: DataFrame, kinds: dict[str, str]) -> dict[str, str]:
+def other_names(raw: DataFrame, kinds: dict[str, str]) -> dict[str, str]:
     """The names in use that have no definition, as strings; at most what MAX_COLUMNS leaves, the first in text order.
 
     The values of all others are in ``rest_maps``.
     """
     room = MAX_COLUMNS - len(kinds)
-    names = pairs.where(F.col("val").isNotNull()).select("feat").distinct()
+    names = pairs_of(raw).where("feat IS NOT NULL AND val IS NOT NULL").select("feat").distinct()
     if kinds:
         names = names.where(~F.col("feat").isin(*kinds))
     found = [r[0] for r in names.orderBy("feat").limit(room + 1).collect()]
     return {n: "string" for n in found[:room]}
 
 
-def entities(*frames: DataFrame, entity: str) -> DataFrame:
-    """(entity) of every row of the frames, also of those without a pair."""
-    every = [f.select(F.col(f"`{entity}`").alias("entity")) for f in frames]
-    return reduce(DataFrame.unionByName, every)
-
-
-def entity_maps(resolved: DataFrame, kinds: dict[str, str], entities: DataFrame | None = None) -> DataFrame:
-    """Maps of an entity's resolved names: attrs of their values, faults of the texts that failed.
+def entity_maps(raw: DataFrame, kinds: dict[str, str], named: tuple[str, ...] | None = None, every: bool = True) -> DataFrame:
+    """(entity, part, attrs, faults): maps of an entity's resolved names, their values and the texts that failed.
 
-    The row of part 0 has the names in ``kinds``, so it is bounded by their number. Other names are spread
-    over parts by their hash, so that an entity with very many of them is never gathered into one row. Each of
-    ``entities`` has a row of part 0, be its maps empty.
+    The row of part 0 has the names in ``kinds``, so it is bounded by their number; with ``every``, each entity has one, be its
+    maps empty. Other names are spread over parts by their hash, so that an entity with very many of them is never gathered into
+    one row. With ``named``, other names than these are left out.
     """
-    if entities is not None:
-        resolved = resolved.unionByName(entities, allowMissingColumns=True)
+    counted = raw.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
+    hot = counted.select(F.col("entity").alias("hot"))  # entities with HOT rows or more each, so few
+    ordinary, same = raw, F.col("entity").eqNullSafe(F.col("hot"))
+    busy = not hot.isEmpty()
+    if busy:
+        ordinary = raw.join(F.broadcast(hot), same, "left_anti")
+    maps = _gathered(ordinary.repartition("entity"), kinds, named, every)
+    if busy:
+        maps = maps.unionByName(_gathered(raw.join(F.broadcast(hot), same, "left_semi"), kinds, named, every))
+    return maps
+
+
+def _gathered(raw: DataFrame, kinds: dict[str, str], named: tuple[str, ...] | None, every: bool) -> DataFrame:
+    pairs = pairs_of(raw, every)
+    if named is not None:
+        pairs = pairs.withColumn("feat", F.when(F.col("feat").isin(*named), F.col("feat")))
+    resolved = resolve_pairs(pairs, kinds)
     part = (1 + F.pmod(F.xxhash64("feat"), F.lit(PARTS))).cast("int")
     part = F.when(F.col("feat").isin(*kinds), 0).otherwise(part) if kinds else part
     part = F.when(F.col("feat").isNull(), 0).otherwise(part)

@@ -8,28 +8,23 @@ from glossmark.operators import badrows, wide
 from glossmark.sources.tables import table
 
 
-def _feature_pairs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, dict[str, str]]:
-    kinds = wide.kinds_of(table(spark, folder, "feat_defs"))
-    tokens = wide.token_pairs(table(spark, folder, "nbest"), "entry_id", "feats")
-    rows = wide.row_pairs(table(spark, folder, "feat_rows"), "entry_id", "feat", "val", "loaded_at")
-    return tokens, rows, kinds
+KNOWN = ("Lm", "LmOov", "Pruned", "Domain")
 
 
-def _entries(spark: SparkSession, folder: str) -> DataFrame:
-    return wide.entities(table(spark, folder, "nbest"), table(spark, folder, "feat_rows"), entity="entry_id")
+def _features(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, str]]:
+    texts = wide.text_rows(table(spark, folder, "nbest"), "entry_id", "feats")
+    rows = wide.attribute_rows(table(spark, folder, "feat_rows"), "entry_id", "feat", "val", "loaded_at")
+    return texts.unionByName(rows), wide.kinds_of(table(spark, folder, "feat_defs"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    tokens, rows, kinds = _feature_pairs(spark, folder)
-    maps = wide.entity_maps(wide.entity_pairs(tokens, rows, kinds), kinds)
-    return wide.faulty_attributes(maps, "entry_id")
+    return wide.faulty_attributes(wide.entity_maps(*_features(spark, folder), every=False), "entry_id")
 
 
 def _wide_maps(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, str]]:
-    tokens, rows, kinds = _feature_pairs(spark, folder)
-    every = tokens.select("feat", "val").unionByName(rows.select("feat", "val"))
-    kinds = kinds | wide.other_names(every, kinds)
-    return wide.entity_maps(wide.entity_pairs(tokens, rows, kinds), kinds, _entries(spark, folder)), kinds
+    raw, kinds = _features(spark, folder)
+    kinds = kinds | wide.other_names(raw, kinds)
+    return wide.entity_maps(raw, kinds), kinds
 
 
 def p2_wide(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,13 +37,17 @@ def p2_wide_rest(spark: SparkSession, folder: str) -> DataFrame:
     return wide.rest_maps(_wide_maps(spark, folder)[0], "entry_id")
 
 
+def p2_wide_defined(spark: SparkSession, folder: str) -> DataFrame:
+    """A typed column for every definition, one row per entry; the values of names without one are left out."""
+    raw, kinds = _features(spark, folder)
+    return wide.typed_columns(wide.entity_maps(raw, kinds, tuple(kinds)), kinds, "entry_id").drop("faults")
+
+
 def p2_wide_known(spark: SparkSession, folder: str) -> DataFrame:
     """A few typed columns of every entry, in a fixed schema."""
-    tokens, rows, kinds = _feature_pairs(spark, folder)
-    kept = {k: kinds[k] for k in ("Lm", "LmOov", "Pruned", "Domain")}
-    wanted = tokens.where(tokens.feat.isin(*kept)), rows.where(rows.feat.isin(*kept))
-    maps = wide.entity_maps(wide.entity_pairs(*wanted, kept), kept, _entries(spark, folder))
-    return wide.typed_columns(maps, kept, "entry_id").drop("faults")
+    raw, kinds = _features(spark, folder)
+    kept = {k: kinds[k] for k in KNOWN}
+    return wide.typed_columns(wide.entity_maps(raw, kept, KNOWN), kept, "entry_id").drop("faults")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,7 +58,7 @@ def p4_valid(spark: SparkSession, folder: str) -> DataFrame:
     return badrows.valid_entries(badrows.parse_lines(table(spark, folder, "nbest_raw")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_wide": p2_wide, "p2_wide_rest": p2_wide_rest, "p2_wide_known": p2_wide_known, "p4_found": p4_found, "p4_valid": p4_valid}
+QUERIES = {"p2_found": p2_found, "p2_wide": p2_wide, "p2_wide_rest": p2_wide_rest, "p2_wide_defined": p2_wide_defined, "p2_wide_known": p2_wide_known, "p4_found": p4_found, "p4_valid": p4_valid}
 
 _PAIRS = r"""
 tok AS (SELECT entry_id, unnest(string_split_regex(feats, '[ \t]+')) AS t FROM nbest),
@@ -97,6 +96,25 @@ d AS (SELECT *, NOT regexp_full_match(sid, '[0-9]+') OR length(ltrim(sid, '0'))
     OR coalesce(abs(TRY_CAST(tot AS DOUBLE)), 'inf'::DOUBLE) >= 3.4028235677973366e38 AS bad_tot FROM c)"""
 
 
+# The definitions of the table, for SQL with a column of each.
+_DEFINED = {
+    "Beam": "string", "Deriv": "string", "Distortion": "double", "Domain": "string", "Forced": "boolean", "ForestSize": "int", "GlueRules": "int",
+    "HypLen": "int", "LexBwd": "double", "LexFwd": "double", "Lm": "double", "LmOov": "int", "NnScore": "double", "PassThroughs": "int",
+    "PhraseBwd": "double", "PhraseFwd": "double", "Pruned": "boolean", "ReoMono": "double", "ReoSwap": "double", "RuleCount": "int",
+    "Shard_Id": "string", "WordPen": "double", "crf.Content": "int", "crf.Stop": "int",
+}
+
+
+def _typed_sql(names: tuple[str, ...]) -> str:
+    """One row per entry of both tables, with a typed column of each name."""
+    kinds = {"double": "DOUBLE", "int": "BIGINT", "boolean": "BOOLEAN", "string": "VARCHAR"}
+    columns = ", ".join(f"""TRY_CAST(max(value) FILTER (WHERE feat = '{n}') AS {kinds[_DEFINED[n]]}) AS "{wide.column_name(n)}\"""" for n in names)
+    return f"""WITH {_PAIRS},
+won AS (SELECT entry_id, feat, arg_max(canon, (first, coalesce(loaded, TIMESTAMP '0001-01-01'), canon)) FILTER (WHERE canon IS NOT NULL) AS value
+  FROM typed GROUP BY entry_id, feat),
+every AS (SELECT entry_id FROM nbest UNION SELECT entry_id FROM feat_rows)
+SELECT e.entry_id, {columns} FROM every e LEFT JOIN won w ON w.entry_id IS NOT DISTINCT FROM e.entry_id GROUP BY e.entry_id"""
+
 
 def _field(k: int) -> str:
     """Field k, from the quoted texts if it is one of them."""
@@ -107,14 +125,8 @@ def _field(k: int) -> str:
 SQL = {
     "p2_found": f"WITH {_PAIRS} SELECT entry_id, feat FROM typed GROUP BY entry_id, feat "
     "HAVING count(*) > count(canon) OR min(canon) <> max(canon)",
-    "p2_wide_known": f"""WITH {_PAIRS},
-won AS (SELECT entry_id, feat, arg_max(canon, (first, coalesce(loaded, TIMESTAMP '0001-01-01'), canon)) FILTER (WHERE canon IS NOT NULL) AS value
-  FROM typed WHERE feat IN ('Lm', 'LmOov', 'Pruned', 'Domain') GROUP BY entry_id, feat)
-SELECT entry_id, max(CASE WHEN feat = 'Lm' THEN TRY_CAST(value AS DOUBLE) END) AS "feat_Lm",
-  max(CASE WHEN feat = 'LmOov' THEN TRY_CAST(value AS BIGINT) END) AS "feat_LmOov",
-  bool_or(CASE WHEN feat = 'Pruned' THEN TRY_CAST(value AS BOOLEAN) END) AS "feat_Pruned",
-  max(CASE WHEN feat = 'Domain' THEN value END) AS "feat_Domain"
-FROM won GROUP BY entry_id""",
+    "p2_wide_defined": _typed_sql(tuple(_DEFINED)),
+    "p2_wide_known": _typed_sql(KNOWN),
     "p4_valid": f"""WITH {_PARSED}, q AS (SELECT d.*, regexp_extract_all(b.s, '(?:^|\\x1f)"((?:[^"]|"")*)"', 1) AS quoted FROM d JOIN b USING (line_id)
   WHERE broken IS NULL AND NOT bad_sid AND NOT bad_tot)
 SELECT line_id, sid::INT AS sent_id, {_field(2)} AS hyp, {_field(3)} AS feats, tot::FLOAT AS total FROM q""",
