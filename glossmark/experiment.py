@@ -10,6 +10,7 @@ from glossmark.operators import nbest as nb
 from glossmark.operators import resample
 from glossmark.operators.metrics import load
 from glossmark.operators.metrics.base import Metric
+from glossmark.session import hold
 
 
 def results(stats: DataFrame, metrics: list[Metric], boot_samples: int = 10_000, ar_shuffles: int = 10_000, seed: int = 0) -> DataFrame:
@@ -34,12 +35,12 @@ def evaluate(
     hypotheses: DataFrame, refs: DataFrame, metrics: str | list[Metric] = "bleu meteor ter length", boot_samples: int = 10_000, ar_shuffles: int = 10_000, seed: int = 0
 ) -> DataFrame:
     own = load(metrics)
-    return results(ev.suff_stats(hypotheses, refs, own).persist(), own, boot_samples, ar_shuffles, seed)
+    return results(hold(ev.suff_stats(hypotheses, refs, own)), own, boot_samples, ar_shuffles, seed)
 
 
 def nbest(entries: DataFrame, refs: DataFrame, metrics: str | list[Metric] = "bleu meteor ter", compat: bool = False) -> tuple[DataFrame, DataFrame]:
     """Ranked entries, and the corpus scores of the best, worst and first entry of each list."""
     own = load(metrics)
-    scored = nb.scored_entries(nb.entry_stats(entries, refs, own), own).persist()
-    ranked = nb.ranked_entries(scored, own).persist()
-    return ranked, nb.corpus_scores(ranked, own, compat)
+    scored = hold(nb.scored_entries(nb.entry_stats(entries, refs, own), own))
+    ranked = hold(nb.ranked_entries(scored, own))
+    return ranked, nb.corpus_scores(ranked, own, compat, subscores=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,11 +23,22 @@ def sentence_lines(scored: DataFrame, metrics: list[Metric]) -> DataFrame:
     )
 
 
-def diff_blocks(ranked: DataFrame) -> DataFrame:
-    """A block of text per sentence of a ranking (with texts), in order of ``place``: scores, both outputs, references."""
-    head = F.format_string("SENT %d %s diff=%.2f base=%.2f sys=%.2f", "sent_id", "metric", "diff", "base", "score")
+def diff_blocks(ranked: DataFrame, metrics: list[Metric]) -> DataFrame:
+    """A block of text per sentence of a ranking (with texts), in order of ``place``.
+
+    Scores, first those of the metric that it is ranked by, then both outputs and the references, each with its label.
+    """
+
+    def gain(m: Metric) -> Column:
+        return F.format_string(f"{m.name}: %.1f -> %.1f = %.1f", F.col(f"base_{m.name}"), F.col(m.name), F.col(m.name) - F.col(f"base_{m.name}"))
+
+    own = lambda m: F.col("metric") == m.name
+    first = F.coalesce(*[F.when(own(m), gain(m)) for m in metrics])
+    head = F.concat_ws("\t", F.format_string("SENT %d", "sent_id"), first, *[F.when(~own(m), gain(m)) for m in metrics])
     file = F.format_string("sys%d.sortedby.%s", F.col("sys_id") + 1, F.col("metric"))
-    block = F.concat_ws("\n", head, F.col("base_hyp"), F.col("hyp"), F.concat_ws("\n", "refs"), F.lit(""))
+    texts = [F.concat(F.col("metric"), F.lit(f"-median-{label}: "), F.col(c)) for label, c in (("baseline", "base_hyp"), ("variant", "hyp"))]
+    refs = F.transform("refs", lambda r, i: F.concat(F.lit("ref"), i + 1, F.lit(": "), r))
+    block = F.concat_ws("\n", head, *texts, refs, F.lit(""))
     return ranked.select("metric", "sys_id", "place", "sent_id", file.alias("file"), block.alias("block"))
 
 

@@ -78,13 +78,17 @@ def median_runs(by_run: DataFrame) -> DataFrame:
 def diff_rank(stats: DataFrame, metrics: list[Metric], by_run: DataFrame, baseline: int = 0) -> DataFrame:
     """Sentences of each system by what they gain over the baseline in a metric, each in its median run.
 
-    ``place`` counts from 1, from the greatest gain in the raw score; ties by sentence.
+    ``place`` counts from 1, from the greatest gain in the raw score; ties by sentence. The other scores of both
+    outputs stay, as ``<metric>`` and ``base_<metric>``.
     """
-    kept = [c for c in ("hyp", "refs") if c in stats.columns]
-    long = long_scores(sentence_scores(stats, metrics), [*RUN, "sent_id", *kept], metrics)
-    at = median_runs(by_run).select("metric", "sys_id", "opt_id")
-    median = long.join(F.broadcast(at), ["metric", "sys_id", "opt_id"])  # a row per metric and system
-    base = median.where(F.col("sys_id") == baseline).select("metric", "sent_id", F.col("score").alias("base"), *[F.col(c).alias(f"base_{c}") for c in kept if c == "hyp"])
+    kept, names = [c for c in ("hyp", "refs") if c in stats.columns], [m.name for m in metrics]
+    at = median_runs(by_run).groupBy(*RUN).agg(F.collect_set("metric").alias("median_of"))
+    # A row per system and metric at most; the rows of other runs end here.
+    own = sentence_scores(stats, metrics).join(F.broadcast(at), RUN)
+    median = long_scores(own, [*RUN, "sent_id", *kept, *names, "median_of"], metrics).where(F.array_contains("median_of", F.col("metric"))).drop("median_of")
+    base = median.where(F.col("sys_id") == baseline).select(
+        "metric", "sent_id", F.col("score").alias("base"), *[F.col(c).alias(f"base_{c}") for c in ("hyp", *names) if c in median.columns]
+    )
     other = median.where(F.col("sys_id") != baseline)
     both = other.join(base, ["metric", "sent_id"]).withColumn("diff", F.col("score") - F.col("base"))
     gain = F.round("diff", 9).desc()  # noise of the last digits is a tie

@@ -5,7 +5,7 @@ The renderers take long results (metric, sys_id, type, value), a handful of rows
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmark.operators.metrics.base import Metric
@@ -26,29 +26,35 @@ def cells(results: DataFrame, runs: int, baseline: int = 0) -> DataFrame:
     return _wide(results).select("sys_id", "metric", text.alias("cell"))
 
 
+def _padded(text: Column, width: int) -> Column:
+    """Padded with blanks, never cut."""
+    return F.concat(text, F.repeat(F.lit(" "), F.greatest(F.lit(width) - F.length(text), F.lit(0))))
+
+
 def ascii_table(results: DataFrame, metrics: list[Metric], runs: int, names: dict[int, str] | None = None) -> DataFrame:
     """(line_no, line): a header, then a line per system."""
     wide = cells(results, runs).groupBy("sys_id").pivot("metric", [m.name for m in metrics]).agg(F.first("cell"))
     title = F.when(F.col("sys_id") == 0, F.lit("baseline")).otherwise(F.concat(F.lit("system "), F.col("sys_id").cast("string")))
     for k, v in (names or {}).items():
         title = F.when(F.col("sys_id") == k, F.lit(v)).otherwise(title)
-    row = F.concat(F.rpad(title, 15, " "), *[F.rpad(F.coalesce(F.col(m.name), F.lit("-")), 23, " ") for m in metrics])
+    row = F.concat(_padded(title, 15), *[_padded(F.coalesce(F.col(m.name), F.lit("-")), 23) for m in metrics])
     head = f"n={runs}".ljust(15) + "".join(f"{m.label} (s_sel/s_opt/p)".ljust(23) for m in metrics)
     top = results.sparkSession.createDataFrame([(0, head)], "line_no int, line string")
-    notes = [(1_000_000, "* needs more than one optimizer run"), (1_000_001, "** p-values are unreliable for one optimizer run")] if runs < 2 else []
-    body = wide.select((F.col("sys_id") + 1).alias("line_no"), row.alias("line"))
-    out = top.unionByName(body)
-    return out.unionByName(results.sparkSession.createDataFrame(notes, "line_no int, line string")) if notes else out
+    out = top.unionByName(wide.select((F.col("sys_id") + 1).alias("line_no"), row.alias("line")))
+    if runs >= 2:
+        return out
+    notes = [(1_000_000, "  *  no estimate of optimizer instability: a single optimizer run"), (1_000_001, "  ** no p-value: a single optimizer run")]
+    footer = results.sparkSession.createDataFrame(notes, "line_no int, line string")
+    several = F.broadcast(results.agg((F.count_distinct("sys_id") > 1).alias("several")))  # one row
+    return out.unionByName(footer.join(several, (F.col("line_no") == 1_000_000) | F.col("several")).drop("several"))
 
 
 def latex_table(results: DataFrame, metrics: list[Metric], runs: int, names: dict[int, str] | None = None, full_document: bool = False) -> str:
     """A LaTeX table, by metric and then system. Reads a few rows per system and metric."""
-    rows = {(r["metric"], r["sys_id"]): r for r in _wide(results).collect()}
+    texts = [F.when(F.isnan(t) | F.col(t).isNull(), F.lit("-")).otherwise(F.format_string("%.2f" if t == "p" else "%.1f", t)).alias(t) for t in TYPES]
+    rows = {(r["metric"], r["sys_id"]): r for r in _wide(results).select("metric", "sys_id", *texts).collect()}
     systems = sorted({s for _, s in rows})
 
-    def number(x: float | None, form: str) -> str:
-        return "-" if x is None or x != x else form % x
-
     lines = [r"\begin{table}[htb]", r"\begin{center}", r"\begin{tabular}{|l|l|c|c|c|c|}", r"\hline"]
     lines.append(r"\textbf{Metric} & \textbf{System} & \textbf{Avg} & $\overline{s}_{\text{sel}}$ & $s_{\text{Test}}$ & $p$-value \\ \hline")
     for m in metrics:
@@ -57,8 +63,7 @@ def latex_table(results: DataFrame, metrics: list[Metric], runs: int, names: dic
             r = rows.get((m.name, s))
             first = rf"\multirow{{{len(systems)}}}{{*}}{{{m.label}{arrow}}}" if i == 0 else ""
             name = (names or {}).get(s, "baseline" if s == 0 else f"system {s}")
-            p = "-" if s == 0 else number(r and r["p"], "%.2f")
-            values = [number(r and r["avg"], "%.1f"), number(r and r["resampled_stddev_avg"], "%.1f"), number(r and r["stddev"], "%.1f"), p]
+            values = ["-" if r is None or (t == "p" and s == 0) else r[t] for t in TYPES]
             lines.append(f"{first} & {name} & " + " & ".join(values) + r" \\")
         lines.append(r"\hline")
     about = "; ".join(f"{m.label}: {m.description}" for m in metrics)
@@ -74,6 +79,12 @@ def result_lines(results: DataFrame) -> DataFrame:
     return results.select("metric", "sys_id", "type", text.alias("line"))
 
 
+def run_lines(by_run: DataFrame) -> DataFrame:
+    """The score of every run as ``RESULT: sys: METRIC: OptRun run: score``."""
+    text = F.format_string("RESULT: %d: %s: OptRun %d: %.6f", "sys_id", F.upper("metric"), "opt_id", "score")
+    return by_run.select("metric", "sys_id", "opt_id", text.alias("line"))
+
+
 def write_lines(lines: DataFrame, folder: str, file: str = "file", order: tuple[str, ...] = ("sent_id",), text: str = "line") -> None:
     """One folder of text per value of ``file``, each in order: ranges of the order become part files."""
     (

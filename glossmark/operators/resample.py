@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from glossmark.operators.evaluate import RUN, long_scores
 from glossmark.operators.metrics.base import Metric
+from glossmark.operators.ranking import number_rows
 
 #: Sentences in a chunk, about; a task holds the statistics of one chunk.
 CHUNK = 20_000
@@ -38,38 +39,64 @@ def _stat_names(metrics: list[Metric]) -> list[str]:
     return [c for m in metrics for c in m.stats]
 
 
-def _chunked(stats: DataFrame, sentences: int) -> DataFrame:
-    chunks = max(1, math.ceil(sentences / CHUNK))
+def _chunks(sentences: int) -> int:
+    return max(1, math.ceil(sentences / CHUNK))
+
+
+def _chunked(stats: DataFrame, chunks: int) -> DataFrame:
     return stats.withColumn("chunk", F.pmod(F.xxhash64("sent_id"), F.lit(chunks)).cast("int"))
 
 
+def _paths(cut: DataFrame, chunks: int) -> DataFrame:
+    """(of_sys_id, of_opt_id, of_chunk, total, path): the way to each chunk through a binary tree over the chunks.
+
+    At each step the path has the sentences under the node and under its left half. The tree is never in one place.
+    """
+    depth = (chunks - 1).bit_length()
+    sizes = cut.groupBy(*RUN, "chunk").agg(F.count(F.lit(1)).alias("n"))
+    totals = F.broadcast(sizes.groupBy(*RUN).agg(F.sum("n").alias("total")))  # a row per run
+    keys = [F.col(k).alias(f"of_{k}") for k in (*RUN, "chunk")]
+    step = "struct<level: int, n: bigint, left: bigint>"
+    if not depth:
+        return sizes.join(totals, RUN).select(*keys, "total", F.array().cast(f"array<{step}>").alias("path"))
+    up = lambda level: F.call_function("shiftright", "chunk", F.lit(depth) - level)
+    levels = sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
+    nodes = levels.groupBy(*RUN, "level", up(F.col("level")).alias("node")).agg(F.sum("n").alias("n"))
+    halves = nodes.select(*RUN, (F.col("level") - 1).alias("level"), (F.col("node") / 2).cast("int").alias("node"), (F.col("node") % 2).alias("right"), F.col("n").alias("half"))
+    splits = nodes.join(halves.where("right = 0"), [*RUN, "level", "node"], "left").select(*RUN, "level", "node", "n", F.coalesce("half", F.lit(0)).alias("left"))
+    own = sizes.select(*RUN, "chunk", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("level")).withColumn("node", up(F.col("level")))
+    path = own.join(splits, [*RUN, "level", "node"]).groupBy(*RUN, "chunk").agg(F.array_sort(F.collect_list(F.struct("level", "n", "left"))).alias("path"))
+    return path.join(totals, RUN).select(*keys, "total", "path")
+
+
 def bootstrap_sums(stats: DataFrame, metrics: list[Metric], replicas: int = 10_000, seed: int = 0) -> DataFrame:
     """(sys_id, opt_id, replica, summed statistics): N draws with replacement from the N sentences of each run.
 
-    How many of a replica's draws fall into each chunk is one multinomial draw, which every task of the run
-    repeats from the same seed; within its chunk the draws are then its own. Replicas share their draws over metrics.
+    How many of a replica's draws fall into each chunk is a multinomial draw, made as binomial draws down a binary tree
+    over the chunks: each node has a seed of its own, so all tasks below it draw alike there, and a task makes as many
+    draws as the tree is deep. Within its chunk the draws are then its own. Replicas share their draws over metrics.
     """
     names = _stat_names(metrics)
     at_most = stats.groupBy(*RUN).count().agg(F.max("count")).first()[0] or 0
-    cut = _chunked(stats.select(*RUN, "sent_id", *names), at_most)
-    sizes: dict[tuple, dict[int, int]] = {}
-    for r in cut.groupBy(*RUN, "chunk").count().collect():  # a row per run and chunk
-        sizes.setdefault((r["sys_id"], r["opt_id"]), {})[r["chunk"]] = r["count"]
+    chunks = _chunks(at_most)
+    depth = (chunks - 1).bit_length()
+    cut = _chunked(stats.select(*RUN, "sent_id", *names), chunks)
 
-    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def draw(key: tuple, pdf: pd.DataFrame, way: pd.DataFrame) -> pd.DataFrame:
         sys_id, opt_id, chunk = (int(k) for k in key)
-        own = sizes[sys_id, opt_id]
-        chunks = sorted(own)
-        total = sum(own.values())
-        shared = np.random.default_rng([seed, sys_id, opt_id])
+        draws_of = np.full(replicas, int(way["total"].iloc[0]))
+        for step in way["path"].iloc[0]:
+            level, n, left = (int(step[k]) for k in ("level", "n", "left"))
+            rng = np.random.default_rng([seed, sys_id, opt_id, level, chunk >> (depth - level), 2])
+            to_left = rng.binomial(draws_of, left / n)
+            draws_of = draws_of - to_left if chunk >> (depth - level - 1) & 1 else to_left
         rng = np.random.default_rng([seed, sys_id, opt_id, chunk, 1])
         m = pdf.sort_values("sent_id")[names].to_numpy(dtype=np.int64)
-        share = np.array([own[c] for c in chunks]) / total
-        at, out = chunks.index(chunk), np.zeros((replicas, len(names)), dtype=np.int64)
+        out = np.zeros((replicas, len(names)), dtype=np.int64)
         step = max(1, CELLS // max(1, 2 * len(m)))
         for a in range(0, replicas, step):
             b = min(replicas, a + step)
-            draws = shared.multinomial(total, share, size=b - a)[:, at]
+            draws = draws_of[a:b]
             places = rng.integers(0, len(m), size=int(draws.sum()))
             owner = np.repeat(np.arange(b - a), draws)
             times = np.bincount(owner * len(m) + places, minlength=(b - a) * len(m)).reshape(b - a, len(m))
@@ -78,17 +105,18 @@ def bootstrap_sums(stats: DataFrame, metrics: list[Metric], replicas: int = 10_0
         return pd.DataFrame({"sys_id": sys_id, "opt_id": opt_id, "replica": np.arange(replicas), **{n: out[:, i] for i, n in enumerate(names)}})
 
     schema = "sys_id int, opt_id int, replica int, " + ", ".join(f"{n} bigint" for n in names)
-    parts = cut.groupBy(*RUN, "chunk").applyInPandas(draw, schema)
+    keys = [*RUN, "chunk"]
+    parts = cut.groupBy(*keys).cogroup(_paths(cut, chunks).groupBy(*[f"of_{k}" for k in keys])).applyInPandas(draw, schema)
     return parts.groupBy(*RUN, "replica").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def hashed_bootstrap_sums(stats: DataFrame, metrics: list[Metric], replicas: int, seed: int = 0) -> DataFrame:
     """As bootstrap_sums, drawing sentence number ``h32(seed:replica:sys:opt:slot) % N`` for each slot."""
     names = _stat_names(metrics)
-    numbered = stats.withColumn("row", F.row_number().over(W.partitionBy(*RUN).orderBy("sent_id")) - 1)
-    numbered = numbered.withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*RUN)))
+    sizes = F.broadcast(stats.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n")))  # a row per run
+    numbered = number_rows(stats, RUN, [F.asc("sent_id")], "row").join(sizes, RUN)
     slots = numbered.select(*RUN, F.col("row").alias("slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))).alias("replica"))
-    drawn = slots.select(*RUN, "replica", (h32(F.concat_ws(":", F.lit(seed), "replica", *RUN, "slot")) % F.col("n")).cast("int").alias("row"))
+    drawn = slots.select(*RUN, "replica", (h32(F.concat_ws(":", F.lit(seed), "replica", *RUN, "slot")) % F.col("n")).alias("row"))
     return drawn.join(numbered, [*RUN, "row"]).groupBy(*RUN, "replica").agg(*[F.sum(n).alias(n) for n in names])
 
 
@@ -124,7 +152,7 @@ def shuffle_sums(stats: DataFrame, metrics: list[Metric], shuffles: int = 10_000
     names = _stat_names(metrics)
     wide = _pairs(stats, names, baseline)
     at_most = wide.groupBy("sys_id").agg(F.count_distinct("sent_id").alias("n")).agg(F.max("n")).first()[0] or 0
-    cut = _chunked(wide, at_most)
+    cut = _chunked(wide, _chunks(at_most))
     k = len(names)
 
     def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from glossmark import experiment
 from glossmark.functions import text as tx
-from glossmark.operators import analysis, corpus, evaluate, nbest, report, resample
+from glossmark.operators import analysis, badrows, corpus, evaluate, nbest, report, resample, wide
 from glossmark.operators.metrics import load
 from glossmark.operators.metrics.meteor import Meteor
+from glossmark.operators.metrics.ter import Ter
+from glossmark.session import hold
 from glossmark.sources.tables import table
+from glossmark.sources.text import nbest_fields
 
 REPLICAS = 10  # of the hashed forms, which SQL repeats: only to compare them, too few for figures
 DRAWS = 10_000  # of the sampled forms
@@ -89,7 +92,8 @@ def bleu_multi_ref(spark: SparkSession, folder: str) -> DataFrame:
     """BLEU of each run against each reference number alone, and against all (-1)."""
     h, r = _tables(spark, folder)
     out, metrics = None, load("bleu")
-    for ref_id in (-1, 0, 1, 2, 3):
+    numbers = r.where("ref_id IS NOT NULL").select("ref_id").distinct().collect()  # one per reference file
+    for ref_id in (-1, *sorted(n[0] for n in numbers)):
         own = r if ref_id < 0 else r.where(F.col("ref_id") == ref_id)
         part = evaluate.scores_by(evaluate.suff_stats(h, own, metrics), ["sys_id", "opt_id"], metrics).withColumn("ref_id", F.lit(ref_id))
         out = part if out is None else out.unionByName(part)
@@ -121,7 +125,7 @@ def results_long(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def diff_rank(spark: SparkSession, folder: str) -> DataFrame:
-    stats, metrics = _stats(spark, folder).persist(), load(BL)
+    stats, metrics = hold(_stats(spark, folder)), load(BL)
     ranked = evaluate.diff_rank(stats, metrics, evaluate.scores_by_run(stats, metrics))
     return _rounded(ranked.select("metric", "sys_id", "sent_id", "place", "base", "score", "diff"))
 
@@ -132,8 +136,8 @@ def sentence_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def diff_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    stats, metrics = _stats(spark, folder, keep_text=True), load(BL)
-    return analysis.diff_blocks(evaluate.diff_rank(stats, metrics, evaluate.scores_by_run(stats, metrics)))
+    stats, metrics = hold(_stats(spark, folder, keep_text=True)), load(BL)
+    return analysis.diff_blocks(evaluate.diff_rank(stats, metrics, evaluate.scores_by_run(stats, metrics)), metrics)
 
 
 def unmatched_words(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,24 +148,24 @@ def unmatched_words(spark: SparkSession, folder: str) -> DataFrame:
 def meteor_unmatched_top(spark: SparkSession, folder: str) -> DataFrame:
     h, r = _tables(spark, folder)
     meteor = Meteor()
-    by_run = evaluate.scores_by_run(evaluate.suff_stats(h, r, [meteor]), [meteor])
+    by_run = hold(evaluate.scores_by_run(evaluate.suff_stats(h, r, [meteor]), [meteor]))
     return analysis.unmatched_words(h, r, meteor, by_run)
 
 
 def bootstrap_replicas(spark: SparkSession, folder: str) -> DataFrame:
     metrics = load(BL)
-    return _rounded(resample.replica_scores(resample.hashed_bootstrap_sums(_stats(spark, folder).persist(), metrics, REPLICAS), metrics))
+    return _rounded(resample.replica_scores(resample.hashed_bootstrap_sums(hold(_stats(spark, folder)), metrics, REPLICAS), metrics))
 
 
 def bootstrap_summary(spark: SparkSession, folder: str) -> DataFrame:
     metrics = load(BL)
-    sums = resample.hashed_bootstrap_sums(_stats(spark, folder).persist(), metrics, REPLICAS)
+    sums = resample.hashed_bootstrap_sums(hold(_stats(spark, folder)), metrics, REPLICAS)
     return _rounded(resample.bootstrap_summary(resample.replica_scores(sums, metrics)))
 
 
 def bootstrap_sampled(spark: SparkSession, folder: str) -> DataFrame:
     metrics = load(BL)
-    sums = resample.bootstrap_sums(_stats(spark, folder).persist(), metrics, DRAWS)
+    sums = resample.bootstrap_sums(hold(_stats(spark, folder)), metrics, DRAWS)
     return _rounded(resample.bootstrap_summary(resample.replica_scores(sums, metrics)))
 
 
@@ -171,12 +175,12 @@ def ar_shuffle_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def ar_pvalue(spark: SparkSession, folder: str) -> DataFrame:
     metrics = load(BL)
-    return _rounded(resample.p_values(resample.hashed_shuffle_sums(_stats(spark, folder).persist(), metrics, REPLICAS), metrics))
+    return _rounded(resample.p_values(resample.hashed_shuffle_sums(hold(_stats(spark, folder)), metrics, REPLICAS), metrics))
 
 
 def ar_sampled(spark: SparkSession, folder: str) -> DataFrame:
     metrics = load(BL)
-    return _rounded(resample.p_values(resample.shuffle_sums(_stats(spark, folder).persist(), metrics, DRAWS), metrics))
+    return _rounded(resample.p_values(resample.shuffle_sums(hold(_stats(spark, folder)), metrics, DRAWS), metrics))
 
 
 def ter_by_run(spark: SparkSession, folder: str) -> DataFrame:
@@ -193,13 +197,19 @@ def full_results(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ascii_table(spark: SparkSession, folder: str) -> DataFrame:
-    return report.ascii_table(full_results(spark, folder), load("bleu meteor ter length"), runs=3)
+    runs = table(spark, folder, "hypotheses").agg(F.count_distinct("opt_id")).first()[0]
+    return report.ascii_table(full_results(spark, folder), load("bleu meteor ter length"), runs)
+
+
+def edit_distance_noshift(spark: SparkSession, folder: str) -> DataFrame:
+    """Word edits of every sentence without shifts, which those with shifts never exceed."""
+    return evaluate.suff_stats(*_tables(spark, folder), [Ter(shifts=False)])
 
 
 def _ranked(spark: SparkSession, folder: str, metrics: str = BL) -> DataFrame:
     own = load(metrics)
     stats = nbest.entry_stats(table(spark, folder, "nbest"), table(spark, folder, "refs"), own)
-    return nbest.ranked_entries(nbest.scored_entries(stats, own).persist(), own)
+    return nbest.ranked_entries(hold(nbest.scored_entries(stats, own)), own)
 
 
 def nbest_rank(spark: SparkSession, folder: str) -> DataFrame:
@@ -215,7 +225,21 @@ def nbest_topbest_compat(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def nbest_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return nbest.entry_lines(_ranked(spark, folder), load(BL))
+    return nbest.entry_lines(_ranked(spark, folder), load(BL), digits=4)
+
+
+def nbest_all_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Every entry with its scores and ranks by BLEU, METEOR and TER."""
+    names = ("bleu", "meteor", "ter")
+    return _rounded(_ranked(spark, folder, " ".join(names)).select("sent_id", "orig_rank", *names, *[f"{n}_rank" for n in names]))
+
+
+def nbest_parse(spark: SparkSession, folder: str) -> DataFrame:
+    """The entries of those decoder lines that the plain n-best reader takes: it knows no quotes, and raises at the others."""
+    parts = F.split("line", r" \|\|\| ", -1)
+    number = F.get(parts, 3).rlike(wide.NUMBER) & (F.abs(F.get(parts, 3).try_cast("double")) < badrows.FLOAT_LIMIT)
+    taken = (F.size(parts) >= 4) & F.get(parts, 0).rlike("^[0-9]{1,9}$") & number
+    return table(spark, folder, "nbest_raw").where(taken).select("line_id", *nbest_fields(F.col("line")))
 
 
 def corpus_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -229,7 +253,7 @@ QUERIES = {
         length_corpus, bleu_multi_ref, sentence_scores, bleu_submetrics, run_summary, median_run, pooled_scores, results_long, diff_rank,
         sentence_lines, diff_blocks, unmatched_words, meteor_unmatched_top, bootstrap_replicas, bootstrap_summary, bootstrap_sampled,
         ar_shuffle_rows, ar_pvalue, ar_sampled, ter_by_run, meteor_by_run, full_results, ascii_table, nbest_rank, nbest_corpus,
-        nbest_topbest_compat, nbest_lines, corpus_counts,
+        nbest_topbest_compat, nbest_lines, nbest_all_metrics, nbest_parse, corpus_counts, edit_distance_noshift,
     )
 }
 
@@ -342,6 +366,32 @@ def _chosen(metric: str, kind: str, where: str) -> str:
     return f"SELECT '{metric}' AS metric, '{kind}' AS kind, round({score}, 6) AS score FROM (SELECT {_SUMS} FROM ranked WHERE {where})"
 
 
+def _decimals(x: str, digits: int) -> str:
+    """As text, halves away from zero."""
+    return f"""(CASE WHEN {x} < 0 THEN '-' ELSE '' END || printf('%.{digits}f', round(abs({x}), {digits})))"""
+
+
+def _gain(metric: str) -> str:
+    own, base = f"o.{metric}", f"b.{metric}"
+    return f"'{metric}: ' || {_decimals(base, 1)} || ' -> ' || {_decimals(own, 1)} || ' = ' || {_decimals(f'({own} - {base})', 1)}"
+
+
+_SUB_NAMES = ("bleu1p", "bleu2p", "bleu3p", "bleu4p", "brevity")
+_SUB_VALUES = ", ".join([*(f"{_partial(n)} AS bleu{n}p" for n in range(1, 5)), f"{_BP} AS brevity"])
+_TEXT_REFS = _R.replace("SELECT sent_id, ref_id, string_split", f"SELECT sent_id, ref_id, {_NORM.format('ref')} AS text, string_split")
+
+
+def _block(metric: str, other: str) -> str:
+    return f"""SELECT '{metric}' AS metric, o.sys_id, o.sent_id, row_number() OVER (PARTITION BY o.sys_id ORDER BY round(o.{metric} - b.{metric}, 9) DESC, o.sent_id) AS place,
+  'sys' || (o.sys_id + 1) || '.sortedby.{metric}' AS file,
+  'SENT ' || o.sent_id || chr(9) || {_gain(metric)} || chr(9) || {_gain(other)} || chr(10) || '{metric}-median-baseline: ' || hb.hyp || chr(10)
+    || '{metric}-median-variant: ' || ho.hyp || chr(10) || texts || chr(10) AS block
+FROM scored o JOIN median m ON m.metric = '{metric}' AND m.sys_id = o.sys_id AND m.opt_id = o.opt_id
+JOIN median n ON n.metric = '{metric}' AND n.sys_id = 0 JOIN scored b ON b.sys_id = 0 AND b.opt_id = n.opt_id AND b.sent_id = o.sent_id
+JOIN h ho ON ho.sys_id = o.sys_id AND ho.opt_id = o.opt_id AND ho.sent_id = o.sent_id JOIN h hb ON hb.sys_id = 0 AND hb.opt_id = n.opt_id AND hb.sent_id = o.sent_id
+JOIN told ON told.sent_id = o.sent_id WHERE o.sys_id <> 0"""
+
+
 _KINDS = (("oracle", "{}_rank = 0"), ("worst", "{}_rank = entries - 1"), ("topbest", "orig_rank = 0"))
 _KEYS = "sys_id, opt_id, sent_id"
 
@@ -390,6 +440,30 @@ d AS (SELECT metric, sys_id, shuffle, abs(max(score) FILTER (WHERE side = 'x') -
 SELECT a.metric, a.sys_id, round(any_value(r.d), 6) AS diff, round((count(*) FILTER (WHERE a.d > r.d) + 1) / (count(*) + 1), 6) AS p
 FROM d a JOIN d r ON r.metric = a.metric AND r.sys_id = a.sys_id AND r.shuffle = -1 WHERE a.shuffle >= 0 GROUP BY a.metric, a.sys_id""",
     "nbest_rank": f"WITH {_RANKED} SELECT sent_id, orig_rank, round(bleu, 6) AS bleu, round(length, 6) AS length, bleu_rank, length_rank FROM ranked",
+    "sentence_lines": f"""WITH {_STAT}, scored AS (SELECT {_KEYS}, {_BLEU} AS bleu, {_LENGTH} AS length, {_SUB_VALUES} FROM stat)
+SELECT {_KEYS}, 'sys' || (sys_id + 1) || '.opt' || (opt_id + 1) AS file, sent_id || ' ||| ' || hyp || ' ||| bleu=' || {_decimals('bleu', 2)} || ' length=' || {_decimals('length', 2)}
+  || ' ||| ' || {" || ' ' || ".join(f"'{s}=' || {_decimals(s, 2)}" for s in _SUB_NAMES)} AS line FROM scored JOIN h USING ({_KEYS})""",
+    "diff_blocks": f"""WITH {_MEDIAN.replace(_R, _TEXT_REFS)}, scored AS (SELECT {_KEYS}, {_BLEU} AS bleu, {_LENGTH} AS length FROM stat),
+nth AS (SELECT sent_id, text, row_number() OVER (PARTITION BY sent_id ORDER BY ref_id) AS k FROM r),
+told AS (SELECT sent_id, string_agg('ref' || k || ': ' || text, chr(10) ORDER BY k) AS texts FROM nth GROUP BY sent_id)
+{_block('bleu', 'length')} UNION ALL {_block('length', 'bleu')}""",
+    "nbest_lines": f"""WITH {_RANKED}, subs AS (SELECT *, {_SUB_VALUES} FROM ranked),
+texts AS (SELECT sent_id::BIGINT AS sent_id, orig_rank, coalesce(feats, '') AS feats, total FROM (SELECT *, row_number() OVER
+  (PARTITION BY sent_id, orig_rank ORDER BY entry_id DESC NULLS LAST) AS k FROM nbest WHERE sent_id IS NOT NULL AND orig_rank IS NOT NULL) WHERE k = 1)
+SELECT sent_id, orig_rank, sent_id || ' ||| ' || hyp || ' ||| ' || feats || ' ||| ' || CASE WHEN total IS NULL OR isnan(total) THEN 'NaN' ELSE printf('%.6f', total::DOUBLE) END
+  || ' ||| origRank=' || orig_rank || ' bleuRank=' || bleu_rank || ' lengthRank=' || length_rank || ' ||| bleu=' || {_decimals('bleu', 4)} || ' length=' || {_decimals('length', 4)}
+  || ' ' || {" || ' ' || ".join(f"'{s}=' || {_decimals(s, 4)}" for s in _SUB_NAMES)} AS line FROM subs JOIN texts USING (sent_id, orig_rank) JOIN h USING (sent_id, orig_rank)""",
+    "nbest_parse": r"""WITH p AS (SELECT line_id, string_split(line, ' ||| ') AS p FROM nbest_raw)
+SELECT line_id, p[1]::INT AS sent_id, p[2] AS hyp, p[3] AS feats, p[4]::FLOAT AS total FROM p WHERE len(p) >= 4 AND regexp_full_match(p[1], '[0-9]{1,9}')
+  AND regexp_full_match(p[4], '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') AND abs(TRY_CAST(p[4] AS DOUBLE)) < 3.4028235677973366e38""",
+    # Words common to both texts become characters of their own, all others one character for each side; then letters are compared.
+    "edit_distance_noshift": f"""WITH {_H}, {_R},
+ht AS (SELECT {_KEYS}, list_filter(list_transform(string_split_regex(hyp, '{_BREAKS}'), lambda x: lower(x)), lambda x: x <> '') AS a FROM h),
+rt AS (SELECT sent_id, list_filter(list_transform(t, lambda x: lower(x)), lambda x: x <> '') AS b FROM r),
+pairs AS (SELECT *, list_distinct(list_filter(a, lambda x: list_contains(b, x))) AS shared FROM ht JOIN rt USING (sent_id)),
+coded AS (SELECT {_KEYS}, len(b) AS n, array_to_string(list_transform(a, lambda x: chr((coalesce(list_position(shared, x), 0) + 2)::INT)), '') AS x,
+  array_to_string(list_transform(b, lambda y: chr(coalesce(list_position(shared, y) + 2, 1)::INT)), '') AS y FROM pairs)
+SELECT {_KEYS}, min(levenshtein(x, y))::BIGINT AS ter_edits, floor(avg(n))::BIGINT AS ter_words FROM coded GROUP BY ALL""",
     "nbest_corpus": f"WITH {_RANKED} " + " UNION ALL ".join(_chosen(m, k, w.format(m)) for m in ("bleu", "length") for k, w in _KINDS),
     "nbest_topbest_compat": f"WITH {_RANKED} {_chosen('bleu', 'topbest', 'orig_rank = 0')} UNION ALL {_chosen('length', 'topbest', 'bleu_rank = 0')}",
     "corpus_counts": f"""WITH {_H} SELECT (SELECT count(DISTINCT sent_id) FROM h) AS sentences, (SELECT count(DISTINCT sys_id) FROM h) AS systems,

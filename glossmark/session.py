@@ -53,3 +53,18 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
+
+
+_held: list[DataFrame] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Persist a frame that the result reads several times; ``release`` frees it when the results have been read."""
+    _held.append(df.persist())
+    return df
+
+
+def release() -> None:
+    """Free all that was held. Results made before are still right: they would be computed anew."""
+    while _held:
+        _held.pop().unpersist()

@@ -50,6 +50,37 @@ def test_shuffles_keep_sums(stats):
     assert a == b
 
 
+def test_draws_of_chunks(spark, monkeypatch):
+    """Sums of replicas are distributed alike over one chunk and over very many."""
+    rows = [(0, 0, s, s % 7, 1) for s in range(500)]
+    one = spark.createDataFrame(rows, "sys_id int, opt_id int, sent_id long, length_hyp long, length_ref long")
+    length, got = load("length"), []
+    for size in (1000, 1):
+        monkeypatch.setattr(resample, "CHUNK", size)
+        sums = resample.bootstrap_sums(one, length, 1500).toPandas()
+        assert (sums["length_ref"] == 500).all() and len(sums) == 1500
+        got.append(sums["length_hyp"])
+    values = [r[3] for r in rows]
+    mean, var = sum(values), sum((v - sum(values) / 500) ** 2 for v in values)
+    for g in got:
+        assert abs(g.mean() - mean) < 4 * (var / 1500) ** 0.5 and abs(g.var() / var - 1) < 0.15
+        assert abs(((g - g.mean()) ** 3).mean()) < 0.3 * var**1.5
+
+
+def test_long_lists(spark, monkeypatch):
+    """Lists that are ranked over tasks have the ranks that windows give them."""
+    from glossmark.operators import ranking
+
+    rng = random.Random(9)
+    rows = [(i, 0 if i % 3 == 0 else i % 9, i, " ".join(rng.choice("abc") for _ in range(rng.randint(1, 5))), 0.0, "") for i in range(300)]
+    n = spark.createDataFrame(rows, "entry_id long, sent_id int, orig_rank int, hyp string, total float, feats string")
+    refs = spark.createDataFrame([(s, 0, "a b c a") for s in range(9)], "sent_id long, ref_id int, ref string")
+    scored = nbest.scored_entries(nbest.entry_stats(n, refs, M), M).persist()
+    short = sorted(map(str, nbest.ranked_entries(scored, M).collect()))
+    monkeypatch.setattr(ranking, "WINDOW", 30)
+    assert sorted(map(str, nbest.ranked_entries(scored, M).collect())) == short
+
+
 def test_bootstrap(stats, monkeypatch):
     one = resample.bootstrap_sums(stats, M, 300).persist()
     monkeypatch.setattr(resample, "CHUNK", 7)
@@ -67,8 +98,12 @@ def test_diff_rank(stats):
     ranked = evaluate.diff_rank(stats, M, evaluate.scores_by_run(stats, M)).where("metric = 'length' AND sys_id = 1").orderBy("place").collect()
     assert [r.place for r in ranked] == list(range(1, 61))
     assert all(a.diff > b.diff - 1e-8 for a, b in zip(ranked, ranked[1:]))
-    blocks = analysis.diff_blocks(evaluate.diff_rank(stats, M, evaluate.scores_by_run(stats, M)))
-    assert blocks.where("file = 'sys2.sortedby.bleu'").count() == 60
+    blocks = analysis.diff_blocks(evaluate.diff_rank(stats, M, evaluate.scores_by_run(stats, M)), M)
+    own = blocks.where("file = 'sys2.sortedby.bleu'").orderBy("place").collect()
+    assert len(own) == 60
+    lines = own[0].block.split("\n")
+    assert [x.split(":")[0] for x in lines[1:]] == ["bleu-median-baseline", "bleu-median-variant", "ref1", ""]
+    assert lines[0].startswith(f"SENT {own[0].sent_id}\tbleu: ") and lines[0].split("\t")[2].startswith("length: ")
 
 
 def test_nbest(spark):
@@ -83,7 +118,10 @@ def test_nbest(spark):
     assert right["length", "topbest"] == pytest.approx(75.0) and right["length", "oracle"] == pytest.approx(100.0)
     compat = {(r.metric, r.kind): r.score for r in nbest.corpus_scores(ranked, M, compat=True).collect()}
     assert compat["length", "topbest"] == pytest.approx(100.0)
-    assert nbest.entry_lines(scored, M).where("sent_id = 0 AND orig_rank = 0").first().line.startswith("0 ||| a b ||| f=1 ||| 1.0 ||| bleu=")
+    line = nbest.entry_lines(ranked, M).where("sent_id = 0 AND orig_rank = 0").first().line
+    assert line.startswith("0 ||| a b ||| f=1 ||| 1.000000 ||| origRank=0 bleuRank=1 lengthRank=2 ||| bleu=")
+    subs = nbest.corpus_scores(ranked, M, subscores=True).where("metric = 'bleu' AND kind = 'oracle'").first()
+    assert subs.submetrics.startswith("bleu1p=") and subs.submetrics.endswith("; brevity=1.00")
 
 
 def test_files(spark, tmp_path):
@@ -97,10 +135,18 @@ def test_files(spark, tmp_path):
         source.read_refs(spark, [path("r0"), path("short")])
     with pytest.raises(ValueError):
         source.read_hypotheses(spark, [[path("h0")], [path("h1"), path("h1")]])
-    (tmp_path / "n").write_text("0 ||| a ||| f=1 ||| -1\n0 ||| b ||| f=2 ||| -2\n1 ||| c ||| ||| x\n1 ||| c ||| g ||| 3\n")
-    assert [tuple(r) for r in source.read_nbest(spark, path("n")).select("sent_id", "orig_rank", "hyp").orderBy("sent_id", "orig_rank").collect()] == [
-        (0, 0, "a"), (0, 1, "b"), (1, 0, "c"),
+    (tmp_path / "n").write_text('0 ||| a ||| f=1 ||| -1\n0 ||| " b , " he said . ||| f=2 ||| -2 ||| more\n1 ||| c |||  ||| 3\n')
+    assert [tuple(r) for r in source.read_nbest(spark, path("n")).orderBy("sent_id", "orig_rank").select("sent_id", "orig_rank", "hyp", "feats", "total").collect()] == [
+        (0, 0, "a", "f=1", -1.0), (0, 1, '" b , " he said .', "f=2", -2.0), (1, 0, "c", "", 3.0),
     ]
+    for wrong in ("0 ||| a ||| f=1", "x ||| a ||| f ||| 1", "0 ||| a ||| f ||| one", "99999999999 ||| a ||| f ||| 1"):
+        (tmp_path / "w").write_text(f"0 ||| a ||| f ||| 1\n{wrong}\n")
+        with pytest.raises(Exception, match="n-best line"):
+            source.read_nbest(spark, path("w")).collect()
+    with pytest.raises(ValueError, match="no reference"):
+        corpus.check_complete(h, source.read_refs(spark, [path("short")]))
+    with pytest.raises(ValueError, match="references of 1"):
+        corpus.check_lists(source.read_nbest(spark, path("n")), source.read_refs(spark, [path("short")]))
     lines = analysis.sentence_lines(evaluate.sentence_scores(evaluate.suff_stats(h, source.read_refs(spark, [path("r0")]), M, True), M, True), M)
     report.write_lines(lines, path("out"))
     assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["file=sys1.opt1", "file=sys2.opt1"]
@@ -124,6 +170,12 @@ def test_tables(spark):
     assert "18.3 (0.3/0.1/0.00)" in lines[2]
     single = [r.line for r in report.ascii_table(long, load("bleu"), 1).orderBy("line_no").collect()]
     assert "18.3 (0.3/*/**)" in single[2] and len(single) == 5
+    alone = report.ascii_table(long.where("sys_id = 0"), load("bleu"), 1, {0: "a name that is longer than its column"}).orderBy("line_no").collect()
+    assert len(alone) == 3 and alone[1].line.startswith("a name that is longer than its column18.3")
+    runs = spark.createDataFrame([("bleu", 0, 1, 12.5)], "metric string, sys_id int, opt_id int, score double")
+    assert report.run_lines(runs).first().line == "RESULT: 0: BLEU: OptRun 1: 12.500000"
+    eighth = spark.createDataFrame([("bleu", 1, "p", 0.125), ("bleu", 0, "avg", 0.25)], "metric string, sys_id int, type string, value double")
+    assert "& 0.13 " in report.latex_table(eighth, load("bleu"), 3) and "& 0.3 " in report.latex_table(eighth, load("bleu"), 3)
     latex = report.latex_table(long, load("bleu"), 3, full_document=True)
     assert r"\multirow{2}{*}{BLEU $\uparrow$}" in latex and latex.startswith(r"\documentclass")
     assert "RESULT: 1: BLEU: P: 0.000300" in [r.line for r in report.result_lines(long).collect()]
@@ -153,7 +205,7 @@ def test_stream(spark, tmp_path):
 def test_command_line(spark, tmp_path, capsys):
     from glossmark.__main__ import main
 
-    texts = {"b0": ["a b c d e", "x y"], "b1": ["a b c d", "x y z"], "s0": ["a b c d e f", "x"], "s1": ["a c d e", "y x"], "r0": ["a b c d e", "x y z"]}
+    texts = {"b0": ["a b c d e", "x y"], "b1": ["a b c d", "x y z"], "s0": ["a b c d e f", "x"], "s1": ["a c d e", "y x"], "r0": ["a b c d e", "x y z"], "b2": ["a", "b", "c"]}
     for name, lines in texts.items():
         (tmp_path / name).write_text("\n".join(lines) + "\n")
     p = lambda *names: [str(tmp_path / n) for n in names]
@@ -165,8 +217,16 @@ def test_command_line(spark, tmp_path, capsys):
     with pytest.raises(SystemExit):
         main([*base, "--hyps-baseline", *p("b0"), "--nope"])
     (tmp_path / "n").write_text("0 ||| a b c ||| f=1 ||| -1\n0 ||| a b c d e ||| f=2 ||| -2\n1 ||| x y ||| f ||| 3\n")
-    got = main(["nbest", "--nbest", *p("n"), "--refs", *p("r0"), "--metrics", "bleu", "ter", "--rankDir", str(tmp_path / "nk")])
-    assert len(got) == 6 and got[3] == "ter oracle score: 12.50"
+    own = ["--metrics", "bleu", "ter", "--rankDir", str(tmp_path / "nk"), "--out", str(tmp_path / "no"), "--threads", "4", "--ter.beamWidth", "20"]
+    got = main(["nbest", "--nbest", *p("n"), "--refs", *p("r0"), *own])
+    assert len(got) == 6 and got[4] == "TER oracle score: 12.50 ()" and got[2].startswith("BLEU worst-oracle score: ")
+    lines = sum((f.read_text().splitlines() for f in sorted((tmp_path / "no" / "file=nbest").glob("part*"))), [])
+    assert [x.split(" ||| ")[1] for x in lines] == ["a b c", "a b c d e", "x y"]
+    (tmp_path / "syn").write_text("big\tlarge\n")
+    meteor = ["--metrics", "meteor", "--meteor.synonymDirectory", str(tmp_path / "syn"), "--meteor.task", "tune"]
+    assert main(["nbest", "--nbest", *p("n"), "--refs", *p("r0"), *meteor])[1].startswith("METEOR oracle score: ")
+    with pytest.raises(ValueError, match="no reference"):
+        main([*base[:4], "--refs", *p("r0"), "--hyps-baseline", *p("b2")])
 
 
 def test_own_metric(spark):
@@ -189,10 +249,12 @@ def test_own_metric(spark):
     assert evaluate.scores_by_run(evaluate.suff_stats(h, r, m), m).first().score == 3.0
 
 
-def test_numbers_over_tasks(spark):
+def test_numbers_over_tasks(spark, monkeypatch):
     """A group with a third of all rows, and small ones, over more tasks than groups."""
+    from glossmark.operators import ranking
     from glossmark.operators.ranking import number_rows
 
+    monkeypatch.setattr(ranking, "WINDOW", 700)  # the group with a third of all rows goes over tasks, the others do not
     rng = random.Random(8)
     rows = [(rng.choice([0, 0, 0, 0, 1, 2, 3]), rng.randint(0, 50), i) for i in range(5000)]
     df = spark.createDataFrame(rows, "g int, s int, id int")

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from glossmark.operators import evaluate
 from glossmark.operators.metrics import load
 from glossmark.operators.metrics.bleu import batch_stats
-from glossmark.operators.metrics.meteor import Meteor, align
+from glossmark.operators.metrics.meteor import Meteor, align, word_matches
 from glossmark.operators.metrics.ter import Costs, Distance, Ter, edits
 
 WORDS = st.lists(st.sampled_from(["a", "b", "c", "d", ""]), min_size=1, max_size=9)
@@ -60,24 +60,62 @@ def test_distance_and_shifts(a, b):
 
 def test_one_shift():
     assert edits("a b c d e".split(), "d e a b c".split()) == 1
-    assert Ter().sentence("A b", ["a b c", "a x"]) == (1, 2)
-    assert Ter(punctuation=False).sentence("a b .", ["a b"]) == (0, 2)
+    assert Ter().sentence(["A", "b"], [["a", "b", "c"], ["a", "x"]]) == (1, 2)
+    assert Ter(punctuation=False).sentence(["a", "b", "."], [["a", "b"]]) == (0, 2)
+    assert Ter(shifts=False).sentence("a b c d e".split(), ["d e a b c".split()]) == (4, 5)
+    block = [f"w{i}" for i in range(12)]
+    assert edits([*block, "x", "y"], ["x", "y", *block], longest=None) == 1 and edits(["q", *block], [*block, "q"]) == 1
+    assert edits([""], ["a"]) == 1 and Ter().sentence([""], [["a", "b"]]) == (2, 2)
 
 
 def test_meteor():
     m = Meteor()
-    assert m.value(m.sentence("a b c", ["x", "a b c"])[0]) == 1.0
-    assert m.value(m.sentence("", ["a"])[0]) == 0.0
-    assert align(["a", "b", "a"], ["a", "a", "b"], [lambda w: {w}]) == [(0, 1, 0), (1, 2, 0), (2, 0, 0)]
-    got, left_hyp, left_ref = m.sentence("the cats walked x x", ["the cat walks y"])
-    assert got["meteor_exact"] == 1 and left_hyp == ["x", "x"] and left_ref == ["y"] and got["meteor_stem"] == 2
-    assert Meteor(modules=("exact", "synonym"), synonyms={"big": ["large"]}).sentence("big", ["large"])[0]["meteor_synonym"] == 1
+    words = str.split
+    assert m.value(m.sentence(words("a b c"), [["x"], words("a b c")])[0]) == 1.0
+    assert m.value(m.sentence([""], [["a"]])[0]) == 0.0
+    assert [x[:3:2] for x in m.matches(["a", "b", "a"], ["a", "a", "b"])] == [(0, 1), (1, 2), (2, 0)]
+    got, left_hyp, left_ref = m.sentence(words("the cats walked x x"), [words("the cat walks y")])
+    assert got["meteor_hyp_content_exact"] == 1 and left_hyp == ["x", "x"] and left_ref == ["y"] and got["meteor_ref_content_stem"] == 2
+    assert Meteor(synonyms={"big": ["large"]}).sentence(["Big"], [["large"]])[0]["meteor_hyp_content_synonym"] == 1
+    p = Meteor(paraphrases={"in spite of": ["despite"]})
+    got, left, _ = p.sentence(words("despite the rain"), [words("in spite of the rain")])
+    assert (got["meteor_hyp_content_paraphrase"], got["meteor_ref_content_paraphrase"], got["meteor_chunks"], left) == (1, 3, 1, [])
+    f = Meteor(function_words=["the", "of"])
+    plain, weighed = f.sentence(words("the x of"), [words("the y of")])[0], f.sentence(words("x the"), [words("x of")])[0]
+    assert plain["meteor_hyp_function_exact"] == 2 and f.value(weighed) > m.value(m.sentence(words("x the"), [words("x of")])[0])
+    for wrong in ({"language": "xx"}, {"task": "nope"}, {"task": "adq"}, {"modules": ("exact", "guess")}):
+        with pytest.raises(ValueError):
+            Meteor(**wrong)
     with pytest.raises(ValueError):
         Meteor(modules=("exact",), weights=(1.0, 2.0))
     with pytest.raises(ValueError):
         load("bleu nope")
 
 
+def all_alignments(options, used=frozenset(), i=0, size=0):
+    if i == size:
+        yield ()
+        return
+    for rest in all_alignments(options, used, i + 1, size):
+        yield rest
+    for j in options.get(i, ()):
+        if j not in used:
+            for rest in all_alignments(options, used | {j}, i + 1, size):
+                yield ((i, j), *rest)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=6), st.lists(st.sampled_from("abcd"), max_size=6))
+def test_alignment_is_best(hyp, ref):
+    def cost(pairs):
+        return -2 * len(pairs), sum(1 for x, y in zip([(-9, -9), *pairs], pairs) if (y[0] - x[0], y[1] - x[1]) != (1, 1)), sum(abs(i - j) for i, j in pairs)
+
+    options = {i: [j for j, r in enumerate(ref) if r == h] for i, h in enumerate(hyp)}
+    best = min(map(cost, all_alignments(options, size=len(hyp))))
+    got = align(len(hyp), word_matches(hyp, ref, [lambda w: {w}]), beam=10_000)
+    assert cost([(i, j) for i, _, j, _, _ in got]) == best
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     rng = random.Random(5)

@@ -1,10 +1,15 @@
 """Lines that fail to parse, and wide tables from attribute rows."""
 
+import csv
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from glossmark.operators import badrows, wide
 from glossmark.plans import problems
+from glossmark.sources import text as source
 
 LINES = {
     "0 ||| a ||| f=1 ||| -1.5": [],
@@ -44,6 +49,45 @@ def test_lines(spark):
     assert badrows.faulty_lines(badrows.parse_lines(empty)).collect() == []
 
 
+RECORDS = [
+    '0 ||| "a', 'b ""c"" ||| d" ||| f=1 ||| -1.5', "1 ||| plain ||| f ||| 2", '2 ||| "never closed ||| f ||| 1', "3 ||| after ||| f ||| 1", '4 ||| x ||| "f', "", 'g" ||| 7',
+    "stray line", '5 ||| "broken', 'end"x ||| f ||| 1', '6 ||| a "b" c ||| f ||| 1', '7 ||| "open at the end',
+]
+JOINED = {0: ("a\nb \"c\" ||| d", []), 2: ("plain", []), 3: (None, ["quoting"]), 4: ("after", []), 5: ("x", []), 8: (None, ["field_count"]), 9: (None, ["quoting"]), 10: (None, ["field_count"]), 11: ('a "b" c', []), 12: (None, ["quoting"])}
+
+
+@pytest.mark.parametrize("split", [None, 40, 90])
+def test_records_over_lines(spark, tmp_path, split):
+    """A quoted field goes on over line breaks, also where the file is split; a quote that is never closed costs its line only."""
+    (tmp_path / "raw").write_text("\n".join(RECORDS) + "\n")
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        records = source.quoted_records(spark, str(tmp_path / "raw"))
+        got = {r.line_id: (r.hyp, list(r.faults)) for r in badrows.parse_lines(records, "line_no").collect()}
+        many = tmp_path / "many"
+        many.write_text("".join(f'{i} ||| "text {i}\nmore" ||| f ||| 1\n' if i % 3 else f"{i} ||| text ||| f ||| 1\n" for i in range(300)))
+        parsed = badrows.parse_lines(source.quoted_records(spark, str(many)), "line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == JOINED
+    assert sorted((r.sent_id, r.hyp) for r in parsed) == [(i, f"text {i}\nmore" if i % 3 else "text") for i in range(300)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(['"', '""', "a", " ||| ", " ", "x\n"]), max_size=9))
+def test_open_quotes(parts):
+    """A record is open where the strict reader runs into its end within quotes."""
+    text = "".join(parts)
+    try:
+        badrows.read_fields(text)
+        assert not badrows.quote_open(text)
+    except csv.Error as e:
+        assert badrows.quote_open(text) == ("unexpected end of data" in str(e))
+
+
 @pytest.fixture(scope="module")
 def pieces(spark):
     defs = spark.createDataFrame([("D", "double"), ("I", "int"), ("B", "boolean"), ("S", "string"), ("a.b", "int")], "feat string, value_type string")
@@ -58,35 +102,37 @@ def pieces(spark):
         ],
         "entry_id long, feat string, val string, loaded_at timestamp_ntz",
     )
-    return defs, wide.token_pairs(tokens, "entry_id", "feats"), wide.row_pairs(rows, "entry_id", "feat", "val", "loaded_at")
+    return defs, wide.text_rows(tokens, "entry_id", "feats").unionByName(wide.attribute_rows(rows, "entry_id", "feat", "val", "loaded_at"))
 
 
 def test_faults(pieces):
-    defs, tokens, rows = pieces
-    kinds = wide.kinds_of(defs)
-    got = wide.faulty_attributes(wide.entity_maps(wide.entity_pairs(tokens, rows, kinds), kinds), "entry_id")
+    defs, raw = pieces
+    got = wide.faulty_attributes(wide.entity_maps(raw, wide.kinds_of(defs)), "entry_id")
     assert sorted(map(tuple, got.collect())) == [(2, "a.b"), (4, "B"), (4, "D"), (4, "I"), (4, "S"), (5, "I"), (6, "D"), (7, "S")]
 
 
-def test_wide(pieces, spark):
-    defs, tokens, rows = pieces
+@pytest.mark.parametrize("hot", [200_000, 3])
+def test_wide(pieces, spark, monkeypatch, hot):
+    """Entities are resolved alike behind the shuffle and before it."""
+    monkeypatch.setattr(wide, "HOT", hot)
+    defs, raw = pieces
     kinds = wide.kinds_of(defs)
-    kinds |= wide.other_names(tokens.select("feat", "val").unionByName(rows.select("feat", "val")), kinds)
-    out = wide.typed_columns(wide.entity_maps(wide.entity_pairs(tokens, rows, kinds), kinds), kinds, "entry_id")
-    got = {r.entry_id: r for r in out.collect()}
-    assert set(got) == {1, 2, 4, 5, 6, 7, 8, None}
+    kinds |= wide.other_names(raw, kinds)
+    out = wide.typed_columns(wide.entity_maps(raw, kinds), kinds, "entry_id").collect()
+    got = {r.entry_id: r for r in out}
+    assert set(got) == {1, 2, 3, 4, 5, 6, 7, 8, None} and len(out) == 9
     assert (got[1].feat_D, got[1].feat_I, got[1].feat_B, got[1].feat_S) == (1000.0, 7, True, "x=y")
     assert got[2].feat_U == "v" and got[2].feat_a_b in (3, 4) and got[2].faults == {"a.b": None}
+    assert got[3].feat_D is None and got[3].faults == {}
     assert got[4].faults == {"D": "", "I": "1.0", "B": "yes", "S": ""} and got[4].feat_U == "u"
     assert got[6].feat_I is None and set(got[6].faults) == {"D", "I"} and got[8].feat_D == 0.0
-    none = wide.entity_pairs(tokens.limit(0), rows.limit(0), kinds)
-    assert wide.typed_columns(wide.entity_maps(none, kinds), kinds, "entry_id").collect() == []
+    assert wide.typed_columns(wide.entity_maps(raw.limit(0), kinds), kinds, "entry_id").collect() == []
 
 
 def test_hot_entity(spark):
     """An entity with very many names is spread over rows; its known names stay in one."""
-    rows = spark.range(3000).select(F.lit(1).alias("entity"), F.concat(F.lit("n"), F.col("id")).alias("feat"), F.lit("v").alias("val"), F.lit(None).cast("timestamp_ntz").alias("loaded"))
-    maps = wide.entity_maps(wide.entity_pairs(None, rows, {"n0": "string"}), {"n0": "string"})
+    rows = spark.range(3000).select(F.lit(1).alias("e"), F.concat(F.lit("n"), F.col("id")).alias("f"), F.lit("v").alias("v"), F.lit(None).cast("timestamp_ntz").alias("t"))
+    maps = wide.entity_maps(wide.attribute_rows(rows, "e", "f", "v", "t"), {"n0": "string"})
     sizes = [r[0] for r in maps.select(F.size("attrs")).collect()]
     assert sum(sizes) == 3000 and max(sizes) < 200
 
@@ -99,7 +145,7 @@ def test_entry_without_features(spark, tmp_path):
     spark.createDataFrame(nbest, "entry_id long, feats string").write.parquet(f"{tmp_path}/nbest.parquet")
     spark.createDataFrame(rows, "entry_id long, feat string, val string, loaded_at timestamp_ntz").write.parquet(f"{tmp_path}/feat_rows.parquet")
     spark.createDataFrame(defs, "feat string, value_type string").write.parquet(f"{tmp_path}/feat_defs.parquet")
-    for query in (problems.p2_wide, problems.p2_wide_known):
+    for query in (problems.p2_wide, problems.p2_wide_known, problems.p2_wide_defined):
         got = query(spark, str(tmp_path)).collect()
         assert sorted(r.entry_id for r in got) == [1, 2, 3, 4, 5, 6, 7], query.__name__
         by_id = {r.entry_id: r for r in got}
