@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import permutations
+from itertools import permutations, product
 
 import numpy as np
 import pandas as pd
@@ -24,8 +24,8 @@ from glossmark.operators.evaluate import RUN, long_scores
 from glossmark.operators.metrics.base import Metric
 from glossmark.operators.ranking import number_rows
 
-#: Sentences in a chunk, about; a task holds the statistics of one chunk.
-CHUNK = 20_000
+#: Sentences in a chunk, about; a task holds the statistics of one chunk. Small, so that few sentences keep many cores busy.
+CHUNK = 1_000
 #: Cells of random numbers that a task holds at a time.
 CELLS = 4_000_000
 
@@ -142,6 +142,21 @@ def _pairs(stats: DataFrame, names: list[str], baseline: int) -> DataFrame:
     return b.join(a, ["opt_id", "sent_id"])
 
 
+def _weights(perm: np.ndarray, swap: np.ndarray, partition: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the other system at each source row: row i of a side takes the swapped or own system at row perm[i]."""
+    back = perm if partition else np.argsort(perm, axis=-1)
+    wx, wy = np.zeros(perm.shape), np.zeros(perm.shape)
+    np.put_along_axis(wx, perm, swap.astype(float), axis=-1)
+    np.put_along_axis(wy, back, 1.0 - swap, axis=-1)
+    return wx, wy
+
+
+def _patterns(runs: int, partition: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of every permutation of few runs with every swap."""
+    both = [(p, s) for p in permutations(range(runs)) for s in product((0, 1), repeat=runs)]
+    return _weights(np.array([p for p, _ in both]), np.array([s for _, s in both]), partition)
+
+
 def shuffle_sums(stats: DataFrame, metrics: list[Metric], shuffles: int = 10_000, seed: int = 0, baseline: int = 0, partition: bool = False) -> DataFrame:
     """(sys_id, shuffle, side, summed statistics) of the two sides of every shuffle, and of the systems themselves.
 
@@ -170,20 +185,16 @@ def shuffle_sums(stats: DataFrame, metrics: list[Metric], shuffles: int = 10_000
             x[0] += both[0].astype(np.int64)
             y[0] += (both[0] + both[1]).astype(np.int64)
             rows, sents = len(part), len(part) // runs
-            perms = np.array(list(permutations(range(runs)))) if runs <= 6 else None
+            patterns = _patterns(int(runs), partition) if runs <= 5 else None
             step = max(1, CELLS // rows)
             for s in range(0, shuffles, step):
                 e = min(shuffles, s + step)
-                swap = rng.integers(0, 2, size=(e - s, sents, runs), dtype=np.int8)
-                if perms is not None:
-                    perm = perms[rng.integers(0, len(perms), size=(e - s, sents))]
+                if patterns is not None:
+                    which = rng.integers(0, len(patterns[0]), size=(e - s, sents), dtype=np.int32)
+                    wx, wy = patterns[0][which], patterns[1][which]
                 else:
-                    perm = np.argsort(rng.random((e - s, sents, runs)), axis=2)
-                back = perm if partition else np.argsort(perm, axis=2)
-                # Row i of a side takes the swapped or own system at row perm[i]: weights of each source row.
-                wx, wy = np.zeros((e - s, sents, runs)), np.zeros((e - s, sents, runs))
-                np.put_along_axis(wx, perm, swap.astype(float), axis=2)
-                np.put_along_axis(wy, back, 1.0 - swap, axis=2)
+                    swap = rng.integers(0, 2, size=(e - s, sents, runs), dtype=np.int8)
+                    wx, wy = _weights(np.argsort(rng.random((e - s, sents, runs)), axis=2), swap, partition)
                 x[s + 1 : e + 1] += (both[0] + wx.reshape(e - s, rows) @ d).astype(np.int64)
                 y[s + 1 : e + 1] += (both[0] + wy.reshape(e - s, rows) @ d).astype(np.int64)
         number = np.arange(-1, shuffles)
