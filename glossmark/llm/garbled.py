@@ -4,17 +4,20 @@ Every distinct clean word of the corpus is encoded and misread under every chain
 happen, also twice, with losses, and lower-cased afterwards. The garbled forms are hash-joined with the distinct
 suspect tokens: those of the searched texts that are no clean words, nor clean words in disguise (full-width
 forms, look-alike letters). A match is verified by what it is made of, see ``judge``, or by the row it stands in,
-see ``row_verified``, and its original replaces the token. Tokens that no clean word explains, but that hold a trace only misreading leaves (U+FFFD, or units
-that read as proper UTF-8 again), are told too, with the original where it can be read back without loss.
+see ``row_verified``, and its original replaces the token.
+
+Each result names its ``origin``: ``table`` for a match of the forms, ``row`` for one that its row had to verify, ``trace``
+for a token that no clean word explains, but that holds what only misreading leaves (U+FFFD, or units that read as
+proper UTF-8 again). Originals come from the table alone; a token told by its trace has none.
 
 The table of forms is never stored whole: generating tasks emit the forms that a bitmap of the suspects lets
-through. The bitmap has a fixed number of bits; where it is too full it lets more forms through to the join, which
-is exact. Words and suspects are distinct, so no token, however frequent, is a hot key before the last join.
+through. The bitmap grows with the suspects up to MOST_BITS; beyond, it lets more forms through to the join, which is
+exact: at most all forms of the distinct words, far fewer than the tokens of a corpus. Words and suspects are distinct,
+so no token, however frequent, is a hot key before the last join.
 
 Defined results: null and empty texts hold nothing garbled and stay as they are; only ASCII white space ends a
-token, and is kept; equal tokens are judged alike, so repeated rows are; a null id stays null; an empty table gives
-an empty result; columns besides those named are ignored. Tokens beyond MAX_TOKEN characters are not looked up
-among the words but judged by their traces.
+token, and is kept; tokens may be of any length; equal tokens are judged alike, so repeated rows are; a null id stays
+null; an empty table gives an empty result; columns besides those named are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import codecs
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossmark.llm.lookalike import canonical
-from glossmark.session import spread
+from glossmark.session import hold
 
 # How UTF-8 is misread.
 UTF8_READ_AS = (
@@ -52,9 +55,8 @@ LEGACY = (
     (("cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic"), ("utf-8", "cp1252", "latin-1", "mac_roman", "cp1251", "koi8-r", "cp866")),
     (("gb18030", "big5", "cp932", "euc_jp", "euc_kr"), ("utf-8", "cp1252", "latin-1", "mac_roman", "cp437")),
 )
-MAX_TOKEN = 200
-#: Bits of the bitmap of suspects: 2 MB.
-BITS = 1 << 24
+#: Bits of the bitmap of suspects: about 32 for each, 16 MB at most.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 #: Hashes by which tokens are sorted out before they are joined: 8 MB at most.
 HASHES = 1 << 20
 
@@ -243,8 +245,8 @@ def _letters_beyond_ascii(text: Column) -> Column:
 
 
 def _tokens(texts: DataFrame, col: str, *keep: str) -> DataFrame:
-    """Tokens beyond ASCII."""
-    token = F.explode(F.split(F.col(col), "[\\t\\n\\x0B\\f\\r ]+"))
+    """Tokens beyond ASCII, each once for a row."""
+    token = F.explode(F.array_distinct(F.split(F.col(col), "[\\t\\n\\x0B\\f\\r ]+")))
     narrow = texts.select(*keep, col).where(_letters_beyond_ascii(F.col(col)))
     return narrow.select(*keep, token.alias("token")).where(_letters_beyond_ascii(F.col("token")))
 
@@ -269,31 +271,27 @@ def _looked_at(tokens: pd.Series) -> pd.DataFrame:
 
 
 def vocabulary(texts: DataFrame, clean: list[tuple[DataFrame, str]], col: str) -> tuple[DataFrame, DataFrame]:
-    """(clean words, suspects): distinct tokens beyond ASCII, at most MAX_TOKEN long.
+    """(clean words, suspects): distinct tokens beyond ASCII.
 
     Words of the clean texts are trusted. Tokens of the searched texts that are made like words are words too,
     and suspects at the same time; what looks like a trusted word is no suspect.
     """
     parts = [_tokens(t, c).select("token") for t, c in clean]
-    known = parts[0]
-    for p in parts[1:]:
-        known = known.unionByName(p)
-    known = known.where(F.length("token") <= MAX_TOKEN).select(F.lower("token").alias("token")).distinct()
+    known = reduce(DataFrame.unionByName, parts).select(F.lower("token").alias("token")).distinct()
     known = known.withColumn("look", _looked_at("token")).select(F.col("token").alias("word"), F.coalesce(F.nullif("look.plain", F.lit("")), "token").alias("form"))
-    found = _tokens(texts, col).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.length("token") <= MAX_TOKEN)
+    known = hold(known)
+    found = _tokens(texts, col).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     # With n in what is asked, the join stays above the count, and tokens are looked at once each.
     counted = F.when(F.col("n") > 0, F.col("token"))
-    looked = found.withColumn("look", _looked_at(counted)).select("token", "n", "look.plain", "look.natural")
-    empty = known.sparkSession.range(1).select(F.lit("").alias("form"))
-    forms = known.select("form").unionByName(empty)
-    unknown = looked.join(forms, (looked.plain == forms.form) & (looked.n > 0), "left_anti")
-    suspects = unknown.select("token", "natural")
+    looked = found.withColumn("look", _looked_at(counted)).where("n > 0 AND look.plain != ''").select("token", "look.plain", "look.natural")
+    suspects = hold(looked.join(known.select("form"), looked.plain == known.form, "left_anti").select("token", "natural"))
     own = suspects.where("natural").select(F.col("token").alias("word"), F.lit(False).alias("trusted"))
     return known.select("word", F.lit(True).alias("trusted")).unionByName(own), suspects
 
 
-def bitmap(tokens: DataFrame, bits: int = BITS) -> np.ndarray:
-    """A bit for every token's hash. At most bits/64 small rows reach the driver, whatever the input."""
+def bitmap(tokens: DataFrame, bits: int | None = None) -> np.ndarray:
+    """A bit for every token's hash, of so many bits as the tokens need. At most MOST_BITS/64 small rows reach the driver."""
+    bits = bits or min(MOST_BITS, max(LEAST_BITS, 1 << (32 * tokens.count()).bit_length()))
     at = F.xxhash64("token").bitwiseAND(bits - 1)
     word, bit = F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(63).cast("int"))
     rows = tokens.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
@@ -328,35 +326,27 @@ def _judged(
     return pd.Series([judge(*x) for x in zip(token, original, chain, multi, units, trusted)], dtype="int32")
 
 
-_TRACE = T.StructType([T.StructField(c, T.StringType()) for c in ("original", "chain")])
-
-
-@F.pandas_udf(_TRACE)
-def _traced(tokens: pd.Series) -> pd.DataFrame:
+@F.pandas_udf(T.StringType())
+def _traced(tokens: pd.Series) -> pd.Series:
+    """The chain that a token's units tell of; ``lost`` where they are gone."""
     out = []
     for t in tokens:
-        if t is None:
-            out.append((None, None))
-        elif "�" in t:
-            out.append((None, "lost"))
-        elif natural(t) or (back := read_back(t)) is None:
-            out.append((None, None))
-        else:
-            out.append(back)
-    return pd.DataFrame(out, columns=["original", "chain"])
-
-
-def matches(texts: DataFrame, clean: list[tuple[DataFrame, str]], col: str, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+        back = None if t is None or "�" in t or natural(t) else read_back(t)
+        out.append("lost" if t is not None and "�" in t else back[1] if back else None)
+    return pd.Series(out, dtype=object)
+
+
+def matches(texts: DataFrame, clean: list[tuple[DataFrame, str]], col: str, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(suspects, their matches with forms of words, each with its weight)."""
     words, suspects = vocabulary(texts, clean, col)
-    suspects = suspects.persist()
     spark = texts.sparkSession
-    lets = spark.sparkContext.broadcast(bitmap(suspects, bits))
+    known = bitmap(suspects, bits)
+    lets = spark.sparkContext.broadcast(known)
     # A fixed number of tasks: making the forms takes long for the few bytes that the words are.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    forms = words.repartition(tasks, "word").mapInPandas(_form_rows(lets, bits - 1), FORMS)
+    forms = words.repartition(tasks, "word").mapInPandas(_form_rows(lets, 8 * len(known) - 1), FORMS)
     found = forms.join(suspects.select("token"), "token").withColumn("weight", _judged("token", "original", "chain", "multi", "units", "trusted"))
-    return suspects, found.persist()
+    return suspects, hold(found)
 
 
 def _original() -> Column:
@@ -365,7 +355,7 @@ def _original() -> Column:
 
 
 def garbled_tokens(suspects: DataFrame, found: DataFrame) -> DataFrame:
-    """(token, original, chain) of every token garbled wherever it stands; original is null where several words, or none, fit."""
+    """(token, original, chain, origin) of every token garbled wherever it stands; original is null where several words, or none, fit."""
     rank = F.struct("weight", F.col("trusted").cast("int"), F.negative("place"), "original", "chain")
     best = (
         found.where("weight > 0")
@@ -374,10 +364,9 @@ def garbled_tokens(suspects: DataFrame, found: DataFrame) -> DataFrame:
         .select("token", _original(), F.col("best.chain").alias("chain"))
     )
     told = suspects.join(best, "token", "left")
-    told = told.withColumn("t", _traced(F.when(F.col("chain").isNull() & ~F.col("natural"), F.col("token"))))
-    return told.select(
-        "token", F.coalesce("original", "t.original").alias("original"), F.coalesce("chain", "t.chain").alias("chain")
-    ).where("chain IS NOT NULL")
+    told = told.withColumn("trace", _traced(F.when(F.col("chain").isNull() & ~F.col("natural"), F.col("token"))))
+    origin = F.when(F.col("chain").isNotNull(), F.lit("table")).otherwise(F.lit("trace"))
+    return told.select("token", "original", F.coalesce("chain", "trace").alias("chain"), origin.alias("origin")).where("chain IS NOT NULL")
 
 
 @F.pandas_udf(T.IntegerType())
@@ -385,52 +374,52 @@ def _evidence(token: pd.Series, original: pd.Series, text: pd.Series) -> pd.Seri
     return pd.Series([evidence(*x) for x in zip(token, original, text)], dtype="int32")
 
 
-def _of_tokens(rows: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The rows joined with the tokens they hold.
+def spots(texts: DataFrame, tokens: DataFrame, found: DataFrame, id_col: str, col: str) -> DataFrame:
+    """Every place of a garbled token, or of one that its row is asked about, with what may be said of it.
 
-    Most rows are sorted out before the shuffle, by a part of the token's hash: at most HASHES numbers are broadcast.
+    ``told`` marks results. Others are matches to weigh: those of told tokens (without an original), and doubtful ones.
+    Most places are sorted out before the shuffle, by a part of the token's hash: at most HASHES numbers are broadcast.
+    A row goes along only with doubtful tokens; it is known by its id and text, as a null id may be that of many rows.
     """
+    base = F.regexp_replace("chain", r"[+]lower$", "").alias("base")
+    none = [F.lit(None).cast("string").alias(c) for c in ("original", "chain")]
+    told = tokens.select("token", "original", "chain", F.lit(0).alias("place"), F.lit("").alias("base"), "origin")
+    sure = found.where("weight > 0").select("token", *none, F.lit(0).alias("place"), base, F.lit("sure").alias("origin"))
+    doubtful = found.where("weight = 0 AND trusted").join(tokens.select("token"), "token", "left_anti")
+    doubtful = doubtful.select("token", "original", "chain", "place", base, F.lit("row").alias("origin"))
+    asked = hold(told.unionByName(sure).unionByName(doubtful).distinct())
     part = F.xxhash64("token").bitwiseAND(HASHES - 1)
-    parts = F.broadcast(tokens.select(part.alias("part")).distinct())
-    return rows.withColumn("part", part).join(parts, "part", "left_semi").drop("part").join(tokens, "token")
+    parts = F.broadcast(asked.groupBy(part.alias("part")).agg(F.bool_or(F.col("origin") == "row").alias("doubt")))
+    rows = texts.select(F.col(id_col).alias("row_id"), F.xxhash64(col).alias("row_hash"), F.col(col).alias("text"), F.col(col).alias("words"))
+    places = _tokens(rows, "words", "row_id", "row_hash", "text").withColumn("part", part).join(parts, "part")
+    narrow = places.select("row_id", "row_hash", "token", F.when(F.col("doubt"), F.col("text")).alias("text"))
+    return narrow.join(asked, "token").withColumn("text", F.when(F.col("origin") == "row", F.col("text")))
 
 
-def row_verified(texts: DataFrame, tokens: DataFrame, found: DataFrame, id_col: str, col: str) -> DataFrame:
-    """(id, token, original, chain) of tokens that only their row shows to be garbled.
+def row_verified(places: DataFrame) -> DataFrame:
+    """(row_id, row_hash, token, original, chain, origin) of tokens that only their row shows to be garbled.
 
     Asked are matches with trusted words that have no weight of their own, of tokens that are not told yet. They are
     believed in a row whose other words are mostly of the original's script while the token is not, and in a row where
     another token, verified without the row or by its script, has a match of the same chain, or two doubtful ones have.
     """
-    base = F.regexp_replace("chain", r"[+]lower$", "").alias("base")
-    sure = found.where("weight > 0").select("token", F.lit(None).cast("string").alias("original"), F.lit(None).cast("string").alias("chain"), F.lit(0).alias("place"), base)
-    doubtful = found.where("weight = 0 AND trusted").join(tokens.select("token"), "token", "left_anti")
-    asked = doubtful.select("token", "original", "chain", "place", base).unionByName(sure).distinct()
-    # A row is known by its id and text: a null id may be that of many rows.
-    rows = texts.select(F.col(id_col).alias("row_id"), F.xxhash64(col).alias("row_hash"), F.col(col).alias("text"), F.col(col).alias("words"))
-    spots = _of_tokens(_tokens(rows, "words", "row_id", "row_hash", "text"), asked).distinct()
-    spots = spots.withColumn("evidence", _evidence("token", "original", "text")).drop("text")
+    weighed = places.where("base != ''").withColumn("evidence", _evidence("token", "original", "text")).drop("text")
     row_chain = W.partitionBy("row_id", "row_hash", "base")
     vouched = F.max(F.col("original").isNull() | (F.col("evidence") == 2)).over(row_chain)
     several = F.size(F.collect_set(F.when(F.col("evidence") > 0, F.col("token"))).over(row_chain)) > 1
-    spots = spots.withColumn("agrees", vouched | (several & (F.col("evidence") > 0))).where("original IS NOT NULL AND (agrees OR evidence = 2)")
+    agreed = weighed.withColumn("agrees", vouched | (several & (F.col("evidence") > 0))).where("original IS NOT NULL AND (agrees OR evidence = 2)")
     rank = F.struct(F.col("agrees").cast("int") + F.col("evidence"), F.negative("place"), "original", "chain")
-    best = spots.groupBy("row_id", "row_hash", "token").agg(F.max(rank).alias("best"), F.min("original").alias("least"), F.max("original").alias("most"))
-    return best.select(F.col("row_id").alias(id_col), "token", _original(), F.col("best.chain").alias("chain"))
-
-
-def _long_tokens(texts: DataFrame, id_col: str, col: str) -> DataFrame:
-    long = _tokens(texts, col, id_col).where(F.length("token") > MAX_TOKEN)
-    return long.withColumn("t", _traced("token")).select(id_col, "token", "t.original", "t.chain").where("chain IS NOT NULL")
+    best = agreed.groupBy("row_id", "row_hash", "token").agg(F.max(rank).alias("best"), F.min("original").alias("least"), F.max("original").alias("most"))
+    return best.select("row_id", "token", _original(), F.col("best.chain").alias("chain"), F.lit("row").alias("origin"))
 
 
 def garbled_entries(texts: DataFrame, clean: list[tuple[DataFrame, str]], id_col: str, col: str) -> DataFrame:
-    """(id, token, original, chain) of every garbled token of every row."""
+    """(id, token, original, chain, origin) of every garbled token of every row."""
     texts = texts.select(id_col, col)
     suspects, found = matches(texts, clean, col)
-    tokens = garbled_tokens(suspects, found).persist()
-    short = _of_tokens(_tokens(texts, col, id_col).where(F.length("token") <= MAX_TOKEN), tokens).select(id_col, "token", "original", "chain")
-    return short.unionByName(row_verified(texts, tokens, found, id_col, col)).unionByName(_long_tokens(texts, id_col, col))
+    places = hold(spots(texts, hold(garbled_tokens(suspects, found)), found, id_col, col))
+    told = places.where("base = ''").select("row_id", "token", "original", "chain", "origin")
+    return told.unionByName(row_verified(places)).withColumnRenamed("row_id", id_col)
 
 
 @F.pandas_udf(T.StringType())

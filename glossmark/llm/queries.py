@@ -18,8 +18,12 @@ def _clean(spark: SparkSession, folder: str) -> list[tuple[DataFrame, str]]:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    hits = garbled.garbled_entries(table(spark, folder, "nbest"), _clean(spark, folder), "entry_id", "hyp")
-    return hits.select("entry_id").distinct()
+    return p1_tokens(spark, folder).select("entry_id").distinct()
+
+
+def p1_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Every garbled token of every entry, with its original and where that comes from."""
+    return garbled.garbled_entries(table(spark, folder, "nbest"), _clean(spark, folder), "entry_id", "hyp")
 
 
 def p1_restored(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,6 +62,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_tokens": p1_tokens,
     "p1_restored": p1_restored,
     "p3_found": p3_found,
     "p3_entries": p3_entries,
