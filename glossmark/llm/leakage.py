@@ -13,13 +13,15 @@ with more items there are more passes over the corpus, nothing else changes.
 Defined results: null, empty and blank texts contain nothing; items of under three words are found by no seed and
 give nothing; a repeated document row or item gives its pair once; null ids are kept as ids; empty tables give an
 empty result; columns besides those named are ignored. Documents may be of any length: a cluster is cut where no
-hit follows within the length of the item.
+hit follows within the length of the item, and a long one into windows of four times that length, each reaching half
+into the next. An alignment that counts is shorter than two lengths, so some window has the whole of it.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,14 +30,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmark.session import spread
+from glossmark.session import hold, spread
 
 #: Words of items in one block; each block's words and seeds are sent to the executors (about 100 bytes a word).
 BLOCK_WORDS = 500_000
-#: A document contains a passage if an alignment covers so much of the item, with so many of its words equal.
-#: Two words less than 40 % of a short item are allowed, as changed words at its ends fall out of an alignment.
+#: By default a document contains a passage if an alignment covers so much of the item, with so many of its words equal.
+#: Of the 40 % that a part must have, two words of a short item may be changed ones at its ends: they fall out of an alignment.
 COVERAGE = 0.35
 IDENTITY = 0.7
+#: Windows that a task keeps at a time.
+WINDOWS = 1_000
 #: A seed is rare if it stands alone in at most so many documents, or that share of them.
 RARE_COUNT = 20
 RARE_SHARE = 1e-3
@@ -48,8 +52,8 @@ CLUSTERS = "doc_id bigint, item_id bigint, seeds array<bigint>, alone boolean, n
 
 
 def words_of(text: Column) -> Column:
-    """Lower-case words; an ideograph is a word. Tags, entities and invisible characters are dropped."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"<[^<>]{1,200}>|&#?\w{1,10};", " "), r"\p{Cf}", "")
+    """Lower-case words; an ideograph is a word. Tags of any length, entities and invisible characters are dropped."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"</?[A-Za-z!?][^<>]*>|<[^<>]{1,200}>|&#?\w{1,10};", " "), r"\p{Cf}", "")
     return F.regexp_extract_all(F.lower(plain), F.lit(_WORD), F.lit(0))
 
 
@@ -111,17 +115,22 @@ def find_clusters(block: Block, doc_ids: pa.Array, words: pa.ListArray) -> Itera
     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > reach[1:])
     starts = np.append(np.flatnonzero(new), len(pos))
     slant = pos - block.place[seed]
-    for a, b in zip(starts[:-1], starts[1:]):
-        d, n = int(doc[a]), int(item[a])
+    for first, last in zip(starts[:-1], starts[1:]):
+        d, n = int(doc[first]), int(item[first])
         length = int(block.length[n])
-        begin = max(int(offsets[d]), int(pos[a]) - length)
-        end = min(int(offsets[d + 1]), int(pos[b - 1]) + 3 + length)
-        # Hits are in line if another place of the item lies about as far off in the document.
-        line = Counter((slant[a:b] // 6).tolist())
-        places = len(set(block.place[seed[a:b]].tolist()))
-        alone = places < 2 or max(line[k] + line[k + 1] for k in line) < 2
-        near = flat.slice(begin, end - begin).to_pylist()
-        yield doc_ids[d].as_py(), block.ids[n], sorted(set(block.keys[seed[a:b]].tolist())), alone, near
+        low = max(int(offsets[d]), int(pos[first]) - length)
+        high = min(int(offsets[d + 1]), int(pos[last - 1]) + 3 + length)
+        for begin in range(low, max(low + 1, high - 2 * length), 2 * length):
+            end = min(high, begin + 4 * length)
+            a, b = first + np.searchsorted(pos[first:last], (begin, end))
+            if a == b:
+                continue
+            # Hits are in line if another place of the item lies about as far off in the document.
+            line = Counter((slant[a:b] // 6).tolist())
+            places = len(set(block.place[seed[a:b]].tolist()))
+            alone = places < 2 or max(line[k] + line[k + 1] for k in line) < 2
+            near = flat.slice(begin, end - begin).to_pylist()
+            yield doc_ids[d].as_py(), block.ids[n], sorted(set(block.keys[seed[a:b]].tolist())), alone, near
 
 
 def _cluster_rows(shared):
@@ -130,55 +139,64 @@ def _cluster_rows(shared):
         names = ["doc_id", "item_id", "seeds", "alone", "near"]
         types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.list_(pa.string())]
         for batch in batches:
-            got = list(find_clusters(block, batch.column(0), batch.column(1)))
-            if got:
+            clusters = find_clusters(block, batch.column(0), batch.column(1))
+            while got := list(islice(clusters, WINDOWS)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*got), types)], names=names)
 
     return rows
 
 
 def align(item: list[str], near: list[str]) -> tuple[float, int, int, int]:
-    """Best local alignment: its score, the words of the item it covers, its length, its equal words."""
+    """Best local alignment: its score, the words of the item it covers, its length, its equal words.
+
+    Of each cell a row keeps where its path began, how long it is and its equal words, so no table is kept.
+    """
     codes = {w: i for i, w in enumerate(dict.fromkeys(item))}
     a = np.array([codes[w] for w in item])
     b = np.array([codes.get(w, -1) for w in near])
-    n, m = len(a), len(b)
-    h = np.zeros((n + 1, m + 1))
-    ramp = GAP * np.arange(m + 1)
-    for i in range(1, n + 1):
-        row = np.maximum(h[i - 1, 1:] + GAP, h[i - 1, :-1] + np.where(b == a[i - 1], MATCH, MISMATCH))
-        row = np.concatenate(([0.0], np.maximum(row, 0.0)))
-        # Gaps along the row: the best start to the left, less a gap for each step.
-        h[i] = np.maximum.accumulate(row - ramp) + ramp
-    i, j = np.unravel_index(int(h.argmax()), h.shape)
-    score, end, steps, equal = float(h[i, j]), int(i), 0, 0
-    while i > 0 and j > 0 and h[i, j] > 0:
-        same = a[i - 1] == b[j - 1]
-        if h[i, j] == h[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            equal += bool(same)
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-        steps += 1
-    return score, end - int(i), steps, equal
-
-
-def _aligned_rows(shared, common):
+    m = len(b)
+    score, begin, steps, equal = np.zeros(m + 1), np.zeros(m + 1, dtype=np.int64), np.zeros(m + 1, dtype=np.int64), np.zeros(m + 1, dtype=np.int64)
+    ramp, at = GAP * np.arange(m + 1), np.arange(m + 1)
+    best = (0.0, 0, 0, 0)
+    for i, word in enumerate(a, 1):
+        same = b == word
+        slant, down = score[:-1] + np.where(same, MATCH, MISMATCH), score[1:] + GAP
+        go = slant >= down
+        row = np.maximum(np.where(go, slant, down), 0.0)
+        alive = row > 0
+        row = np.append(0.0, row)
+        # Paths end where the score is 0; the next one begins behind this word.
+        new_begin = np.append(i, np.where(alive, np.where(go, begin[:-1], begin[1:]), i))
+        new_steps = np.append(0, np.where(alive, np.where(go, steps[:-1], steps[1:]) + 1, 0))
+        new_equal = np.append(0, np.where(alive, np.where(go, equal[:-1] + same, equal[1:]), 0))
+        # Gaps along the row: the best start to the left, less a gap for each step; of equal ones the nearest.
+        lifted = row - ramp
+        top = np.maximum.accumulate(lifted)
+        source = np.maximum.accumulate(np.where(lifted == top, at, 0))
+        score, begin, steps, equal = top + ramp, new_begin[source], new_steps[source] + (at - source), new_equal[source]
+        k = int(score.argmax())
+        if score[k] > best[0]:
+            best = (float(score[k]), i - int(begin[k]), int(steps[k]), int(equal[k]))
+    return best
+
+
+def _aligned_rows(shared, common, coverage: float, identity: float):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, often = shared.value, common.value
+        whole = None  # the last pair found word for word: no other window of it has more
         for pdf in batches:
             out = []
             for doc, item, seeds, alone, near in pdf.itertuples(index=False):
-                if alone and often.issuperset(seeds):
+                if (alone and often.issuperset(seeds)) or (doc, item) == whole:
                     continue
                 words, near = block.items[item], list(near)
-                if sum((Counter(words) & Counter(near)).values()) < IDENTITY * COVERAGE * len(words):
+                if sum((Counter(words) & Counter(near)).values()) < identity * coverage * len(words):
                     continue  # too few common words for any alignment
                 score, covered, steps, equal = align(words, near)
-                if covered >= COVERAGE * len(words) and equal >= IDENTITY * steps:
+                if covered >= coverage * len(words) and equal >= identity * steps:
                     out.append((doc, item, score, covered / len(words), equal / steps))
+                    if equal == len(words) == steps:
+                        whole = (doc, item)
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "coverage", "identity"])
 
     return rows
@@ -198,8 +216,8 @@ def _blocks(items: DataFrame) -> list[list]:
     return [b for b in blocks if b]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, score, coverage, identity): the best alignment of each pair found."""
+def find_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, identity: float = IDENTITY) -> DataFrame:
+    """(doc_id, item_id, score, coverage, identity): the best alignment of each pair found, if it covers so much of the item."""
     spark = docs.sparkSession
     worded = items.select(F.col("item_id").cast("bigint").alias("item_id"), words_of(F.col("text")).alias("words"))
     worded = worded.where("item_id IS NOT NULL AND size(words) >= 3").groupBy("item_id").agg(F.max("words").alias("words"))
@@ -210,13 +228,13 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     for ids in _blocks(worded):
         rows = worded.where(F.col("item_id").between(ids[0], ids[-1])).collect()
         shared = spark.sparkContext.broadcast(Block(rows))
-        clusters = read.mapInArrow(_cluster_rows(shared), CLUSTERS).persist()
+        clusters = hold(read.mapInArrow(_cluster_rows(shared), CLUSTERS))
         lone = clusters.where("alone").select("doc_id", F.explode("seeds").alias("seed")).groupBy("seed")
         # At most as many seeds as the block has words.
         often = {r["seed"] for r in lone.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).collect()}
         common = spark.sparkContext.broadcast(often)
         found = clusters.mapInPandas(
-            _aligned_rows(shared, common), "doc_id bigint, item_id bigint, score double, coverage double, identity double"
+            _aligned_rows(shared, common, coverage, identity), "doc_id bigint, item_id bigint, score double, coverage double, identity double"
         )
         out = found if out is None else out.unionByName(found)
     if out is None:

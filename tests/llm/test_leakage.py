@@ -23,6 +23,56 @@ def test_alignment(a, b):
     assert score == plain_score(a, b) and equal <= covered <= steps
 
 
+def traced(a, b):
+    """Score, covered words, length and equal words by tracing back a whole table."""
+    h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            h[i][j] = max(0, h[i - 1][j - 1] + (1 if a[i - 1] == b[j - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+    top = max(map(max, h))
+    end, j = next((i, j) for i, row in enumerate(h) for j, x in enumerate(row) if x == top)
+    i, steps, equal = end, 0, 0
+    while h[i][j] > 0:
+        same = a[i - 1] == b[j - 1]
+        if h[i][j] == h[i - 1][j - 1] + (1 if same else -1):
+            i, j, equal = i - 1, j - 1, equal + same
+        elif h[i][j] == h[i - 1][j] - 1:
+            i -= 1
+        else:
+            j -= 1
+        steps += 1
+    return top, end - i, steps, equal
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abc"), min_size=1, max_size=12), st.lists(st.sampled_from("abcd"), min_size=1, max_size=16))
+def test_path(a, b):
+    assert K.align(a, b) == traced(a, b)
+
+
+def test_repeats(spark):
+    """A document of very many copies of a passage, in windows of bounded size; markup of any length."""
+    rng = random.Random(4)
+    words = [f"v{i}y" for i in range(900)]
+    items = {i: [rng.choice(words) for _ in range(30)] for i in range(3)}
+    filler = [f"f{i}z" for i in range(400)]
+    docs = [
+        (1, " ".join(items[0] * 20_000)),
+        (2, " ".join(sum(([*items[1][5:20], *rng.sample(filler, 7)] for _ in range(3000)), []))),
+        (3, " ".join(filler + items[2][:9] + filler) * 3),
+        (4, " ".join(w + f'<a href="{"x" * 400}">' for w in items[2])),
+    ]
+    i = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    block = K.Block(spark.createDataFrame([(0, items[0])], "item_id long, words array<string>").collect())
+    import pyarrow as pa
+
+    clusters = K.find_clusters(block, pa.array([1]), pa.array([docs[0][1].split()]))
+    assert max(len(c[4]) for c in clusters) <= 120
+    got = {(r.doc_id, r.item_id): (r.coverage, r.identity) for r in K.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), i).collect()}
+    assert got == {(1, 0): (1.0, 1.0), (2, 1): (0.5, 1.0), (4, 2): (1.0, 1.0)}
+    assert {(r.doc_id, r.item_id) for r in K.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), i, coverage=0.25).collect()} == {(1, 0), (2, 1), (3, 2), (4, 2)}
+
+
 def test_planted(spark):
     rng = random.Random(3)
     vocab = [f"w{i}x" for i in range(2000)]
