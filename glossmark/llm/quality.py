@@ -22,23 +22,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmark.session import spread
+from glossmark.session import hold, spread
 
 LABELS = ("prose", "list", "table", "junk")
-#: Hidden states and their labels: tables are of figures or of words, junk is code and logs, noise, or repetition.
-STATES = {"prose": 0, "list": 1, "figures": 2, "cells": 2, "code": 3, "noise": 3, "repetition": 3}
+#: Hidden states and their labels: tables are of figures or of words, junk is code and logs, noise, or repetition; a few words
+#: that are all there is are prose cut short.
+STATES = {"prose": 0, "list": 1, "figures": 2, "cells": 2, "code": 3, "noise": 3, "repetition": 3, "brief": 0}
 LABEL_OF = np.eye(len(LABELS))[list(STATES.values())]
 #: Observations of a line and their numbers of bins.
 BINS = {
-    "lead": 6, "end": 4, "common": 6, "numbers": 4, "separators": 4, "symbols": 4, "words": 4, "odd": 4, "length": 4, "repeats": 3, "case": 3,
+    "lead": 6, "end": 4, "common": 6, "numbers": 4, "separators": 4, "symbols": 4, "words": 4, "odd": 4, "length": 4, "repeats": 3, "case": 3, "lines": 3,
 }
 ROUNDS = 2
-#: Common words are sent to every executor; more than this are refused.
-MAX_COMMON = 100_000
+#: Documents of more lines are gone through in stretches.
+LONG = 2_000
+#: Common words that an executor holds at a time: languages beyond that are counted by a stage of their own.
+COMMON_BLOCK = 1_000_000
 
 _LEAD = re.compile(r"[ \t]*(?:([•\-*–—·▪◦‣●○+#>☐✓→]+)\s|(\(?(?:\d{1,3}|[A-Za-zа-яα-ω]|[ivxIVX]{1,4})[.):]\)?)\s)")
 _CJK = re.compile("[ぁ-ヿ㐀-鿿가-힣\U00020000-\U0002ffff]")
@@ -86,8 +88,11 @@ class Common:
         return max(found.values(), default=0)
 
 
-def line_figures(line: str, common: Common) -> tuple[list[int], tuple[int, int, int, int, int]]:
-    """Bins of a line that is not blank; its words, their characters, its symbols, its common words, sentence end."""
+def line_figures(line: str, common: Common, before: int = 0) -> tuple[list[int], tuple[int, int, int, int, int]]:
+    """Bins of a line that is not blank (but the last, of the document's lines); its words, their characters, its symbols, its common words, sentence end.
+
+    ``before``: the common words of the best of other languages, if they were counted elsewhere.
+    """
     line = _UNREAD.sub("", line)
     raw = line.split()
     if not raw:
@@ -103,7 +108,7 @@ def line_figures(line: str, common: Common) -> tuple[list[int], tuple[int, int,
         words = [w for t in raw if (w := t.strip(_EDGE))]
         lookup = [w.lower() for w in words]
     count = len(words)
-    hits = common.hits(lookup)
+    hits = max(before, common.hits(lookup))
     numbers = sum(_NUMBER.fullmatch(t) is not None for t in raw)
     odd = 0 if dense else sum(map(_odd, raw))
     symbols = len(_SYMBOL.findall(line))
@@ -134,12 +139,13 @@ def line_figures(line: str, common: Common) -> tuple[list[int], tuple[int, int,
 
 def plain_state(b: np.ndarray) -> np.ndarray:
     """State of lines that are plain cases, else -1. b: a row of bins per line."""
-    lead, end, common, numbers, seps, symbols, words, odd, _, repeats, _ = b.T
+    lead, end, common, numbers, seps, symbols, words, odd, _, repeats, _, lines = b.T
     out = np.full(len(b), -1)
     clean = (symbols == 0) & (odd == 0) & (repeats < 2) & (lead != 1) & (lead != 2)
     out[clean & (seps <= 1) & (common >= 3) & (common <= 4) & (words >= 2)] = 0
     out[clean & (seps == 0) & (end == 1) & (numbers <= 2) & ((lead == 0) | (lead == 5))] = 0
-    out[((lead == 1) | (lead == 2)) & (words <= 1) & (end != 1) & (seps == 0) & (odd <= 1)] = 1
+    out[clean & (lines == 0) & (words <= 1) & (lead == 0) & (numbers == 0) & (seps == 0)] = 7
+    out[((lead == 1) | (lead == 2)) & (words <= 1) & (end != 1) & (seps == 0) & (odd <= 1) & (lines > 0)] = 1  # one item is no list
     out[(seps >= 2) & (common == 0) & (numbers >= 2)] = 2
     out[(seps == 3) & (common <= 1) & (numbers < 2) & (repeats < 2) & (odd < 2)] = 3
     out[(symbols == 3) & (seps < 2) & (common != 3) & (common != 4) & (repeats < 2)] = 4
@@ -169,6 +175,8 @@ class Model:
             part = rest[at : at + k * n].reshape(k, n)
             seen.append(part + 0.004 * part.sum(axis=1, keepdims=True) / n + 1.0)
             at += k * n
+        for name in ("lines", "odd", "symbols", "repeats"):  # by what it means: one line of plain words
+            seen[list(BINS).index(name)][list(STATES).index("brief"), 1:] = 1e-6
         return Model(first, step, seen)
 
 
@@ -194,13 +202,75 @@ def _sum(a: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis=axis))
 
 
-def posteriors(model: Model, bins: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """State probabilities of every line, and expected first states and steps; lines: lines of each document.
+def _loop(e: np.ndarray, before: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Forward log-probabilities line by line, of several documents at once (axis 0), from those before the first line."""
+    out = np.empty_like(e)
+    for t in range(e.shape[1]):
+        before = out[:, t] = _sum(before[:, :, None] + step, 1) + e[:, t]
+    return out
 
-    The documents go side by side, longest first, so that step t works on those that have a line t.
+
+def scan(e: np.ndarray, first: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Forward log-probabilities of one long document, in about three root-of-n rounds.
+
+    It is cut into stretches as long as they are many. All are gone through at once for their transfer matrices; a walk over the
+    stretches tells what each begins with; then all are gone through at once again.
     """
+    n, k = e.shape
+    size = max(1, int(n**0.5))
+    out = np.empty_like(e)
+    out[0] = first + e[0]
+    many = (n - 1) // size
+    parts = e[1 : 1 + many * size].reshape(many, size, k)
+    transfer = step[None] + parts[:, 0, None, :]
+    for t in range(1, size):
+        transfer = _sum(transfer[:, :, :, None] + step, 2) + parts[:, t, None, :]
+    enter, last = np.empty((many, k)), out[0]
+    for s in range(many):
+        enter[s] = last
+        last = _sum(last[:, None] + transfer[s], 0)
+    out[1 : 1 + many * size] = _loop(parts, enter, step).reshape(-1, k)
+    rest = 1 + many * size
+    if rest < n:
+        out[rest:] = _loop(e[None, rest:], out[None, rest - 1], step)[0]
+    return out
+
+
+def _long_posteriors(model: Model, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """State probabilities of the lines of one long document, and its expected first state and steps."""
+    alpha = scan(e, model.first, model.step)
+    ahead = scan(e[::-1], np.zeros(e.shape[1]), model.step.T)[::-1]  # of a line and all behind it
+    gamma = alpha + ahead - e
+    gamma = np.exp(gamma - _sum(gamma, 1)[:, None])
+    steps = np.zeros_like(model.step)
+    for a in range(0, len(e) - 1, 50_000):
+        b = min(len(e) - 1, a + 50_000)
+        xi = alpha[a:b, :, None] + model.step + ahead[a + 1 : b + 1, None, :]
+        xi = np.exp(xi - xi.max(axis=(1, 2), keepdims=True))
+        steps += (xi / xi.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    return gamma, gamma[0], steps
+
+
+def posteriors(model: Model, bins: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """State probabilities of every line, and expected first states and steps; lines: lines of each document."""
     k = len(STATES)
     e = model.emission(bins)
+    ends = np.cumsum(lines)
+    gamma, first, steps = np.empty((len(e), k)), np.zeros(k), np.zeros((k, k))
+    long = lines > LONG
+    for n, end in zip(lines[long], ends[long]):
+        gamma[end - n : end], f, s = _long_posteriors(model, e[end - n : end])
+        first, steps = first + f, steps + s
+    short = np.repeat(~long, lines)
+    if short.any():
+        gamma[short], f, s = _short_posteriors(model, e[short], lines[~long])
+        first, steps = first + f, steps + s
+    return gamma, first, steps
+
+
+def _short_posteriors(model: Model, e: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The documents go side by side, longest first, so that step t works on those that have a line t."""
+    k = len(STATES)
     order = np.argsort(-lines, kind="stable")
     begin = (np.cumsum(lines) - lines)[order]
     sizes = lines[order]
@@ -232,19 +302,53 @@ def expected_counts(model: Model, bins: np.ndarray, lines: np.ndarray) -> np.nda
 LINES = "id bigint, bins binary, sizes array<int>, words bigint, word_chars bigint, chars bigint, symbols bigint, common bigint, ended bigint"
 
 
+def _split_lines(text: str | None) -> list[str]:
+    return re.split("[\n\r\x0b\x0c\x85\u2028\u2029]", text or "")
+
+
+def _counted_rows(shared):
+    """(id, text, counted): common words of each line, of the best language here or before."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = Common(shared.value)
+        for batch in batches:
+            out = []
+            for text, counted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                lines = [x for x in _split_lines(text) if x.strip()]
+                out.append([line_figures(x, common, c)[1][3] for x, c in zip(lines, counted or [0] * len(lines))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, type=pa.list_(pa.int32()))], names=["id", "text", "counted"])
+
+    return rows
+
+
+def _common_blocks(common_words: DataFrame) -> list[DataFrame]:
+    """The distinct words in blocks of whole languages, of COMMON_BLOCK words where languages allow it."""
+    words = common_words.where("word IS NOT NULL").select(F.coalesce("lang", F.lit("")).alias("lang"), "word").distinct()
+    blocks: list[list[str]] = [[]]
+    total = 0
+    for r in words.groupBy("lang").count().orderBy("lang").collect():  # a row per language
+        if total and total + r["count"] > COMMON_BLOCK:
+            blocks.append([])
+            total = 0
+        blocks[-1].append(r["lang"])
+        total += r["count"]
+    return [words.where(F.col("lang").isin(b)) for b in blocks]
+
+
 def _line_rows(shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = Common(shared.value)
         for batch in batches:
             out = []
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for id_, text, counted in zip(*(c.to_pylist() for c in batch.columns)):
                 bins, sizes, sums = [], [], [0] * 5
-                for line in re.split("[\n\r\x0b\x0c\x85  ]", text or ""):
+                for line in _split_lines(text):
                     if line.strip():
-                        b, figures = line_figures(line, common)
-                        bins += b
+                        b, figures = line_figures(line, common, counted[len(sizes)] if counted else 0)
+                        bins += (*b, 0)
                         sizes.append(sum(map(len, line.split())))
                         sums = [x + y for x, y in zip(sums, figures)]
+                bins[len(BINS) - 1 :: len(BINS)] = [_bin(len(sizes), 1, 3)] * len(sizes)
                 out.append((id_, bytes(bins), sizes, sums[0], sums[1], sum(sizes), *sums[2:]))
             columns = list(zip(*out)) if out else [()] * 9
             types = [pa.int64(), pa.binary(), pa.list_(pa.int32())] + [pa.int64()] * 6
@@ -299,13 +403,12 @@ STATS = (
 def text_figures(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """One row per document: its figures, and the share of its lines, by the root of their length, of each label."""
     spark = docs.sparkSession
-    words = common_words.where("word IS NOT NULL").select(F.coalesce("lang", F.lit("")).alias("lang"), "word").distinct()
-    rows = [tuple(r) for r in words.limit(MAX_COMMON + 1).collect()]
-    if len(rows) > MAX_COMMON:
-        raise ValueError(f"more than {MAX_COMMON} common words")
-    shared = spark.sparkContext.broadcast(rows)
-    narrow = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    lines = spread(narrow).mapInArrow(_line_rows(shared), LINES).persist(StorageLevel.MEMORY_AND_DISK)
+    narrow = spread(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")))
+    texts = narrow.withColumn("counted", F.lit(None).cast("array<int>"))
+    shared = [spark.sparkContext.broadcast([tuple(r) for r in block.collect()]) for block in _common_blocks(common_words)]
+    for s in shared[:-1]:
+        texts = texts.mapInArrow(_counted_rows(s), "id bigint, text string, counted array<int>")
+    lines = hold(texts.mapInArrow(_line_rows(shared[-1]), LINES))
     model = train(lines, rounds)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,5 +429,5 @@ def text_figures(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id
 
 
 def not_prose(figures: DataFrame) -> DataFrame:
-    """Documents that are mostly lists, tables and junk. A single line is no list, but a short or cut text."""
-    return figures.where("prose < 0.5 AND NOT (lines = 1 AND list > table AND list > junk)")
+    """Documents that are mostly lists, tables and junk."""
+    return figures.where("prose < 0.5")

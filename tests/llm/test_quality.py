@@ -39,6 +39,18 @@ def test_forward_backward():
     assert np.allclose(first, want_first) and np.allclose(steps, want_steps)
 
 
+def test_long_documents(monkeypatch):
+    """Going through stretches gives what going line by line gives."""
+    rng = np.random.default_rng(3)
+    m = model(rng)
+    lines = np.array([700, 3, 1, 257, 64, 65, 2])
+    bins = np.stack([rng.integers(0, n, lines.sum()) for n in Q.BINS.values()], axis=1)
+    plain = Q.posteriors(m, bins, lines)
+    monkeypatch.setattr(Q, "LONG", 1)
+    for a, b in zip(plain, Q.posteriors(m, bins, lines)):
+        assert np.allclose(a, b)
+
+
 def documents():
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
@@ -52,7 +64,7 @@ def documents():
     return [(i, "\n".join(kinds[k]()), k) for i, k in enumerate(rng.choice(["prose"] * 3 + list(kinds)) for _ in range(400))]
 
 
-def test_labels(spark):
+def test_labels(spark, monkeypatch):
     rows = documents()
     odd = [(1000, None, ""), (1001, "", ""), (1002, " \n\t", ""), (1003, "x" * 200_000, ""), (None, rows[0][1], ""), (0, rows[0][1], "")]
     docs = spark.createDataFrame(rows + odd, "doc_id long, text string, words string")
@@ -64,4 +76,10 @@ def test_labels(spark):
     first = rows[0][1]
     assert got[0].ended_lines == sum(x[-1] == "." for x in first.split("\n")) / len(first.split("\n"))
     assert Q.text_figures(docs.limit(0), common).collect() == []
+    assert Q.text_figures(docs.limit(1), common.limit(0)).count() == 1
+    several = common.unionByName(spark.createDataFrame([("xx", w) for w in ("the", "ba")] + [("yy", "of"), (None, "in"), ("zz", None)], "lang string, word string"))
+    want = {r.doc_id: r.common_words for r in Q.text_figures(docs, several).collect()}
+    monkeypatch.setattr(Q, "COMMON_BLOCK", 3)
+    assert len(Q._common_blocks(several)) == 3
+    assert {r.doc_id: r.common_words for r in Q.text_figures(docs, several).collect()} == want
     assert abs(sum(got[0][s] for s in Q.LABELS) - 1) < 1e-9
