@@ -7,7 +7,8 @@ Stage 2 has one task per bucket: a tree of losers merges the runs of the bucket,
 every run seeks to its next group, past the rows in memory by a search of group starts, past whole row groups by
 their statistics. A task holds one batch of each run, never a group.
 
-Runs lie in the shared folder (``spark.checkpoint.dir``), so a lost executor costs only its own tasks.
+Runs lie in the shared folder (``spark.checkpoint.dir``), so a lost executor costs only its own tasks; ``session.clean``
+removes them when the results have been read.
 
 Defined results: rows with a null group, or a null or NaN score, are not ranked; -0.0 equals 0.0; nulls among the
 tie columns come last; rows that are equal in all columns all count; fewer than N rows give them all; an empty
@@ -33,6 +34,10 @@ from glossmark.session import shared_folder, spread
 BATCH = 16_384
 #: Bytes of a row group of a run; seeking skips whole ones.
 ROW_GROUP = 1 << 20
+#: Merging tasks at most: more runs' files than that many times over are dear to list.
+MOST_BUCKETS = 50_000
+#: Bytes of a run, about, by the size that Spark expects of the input; batches give their groups' first rows only, so it is less.
+RUN = 1 << 27
 
 
 class LoserTree:
@@ -235,10 +240,9 @@ def top_n(
     """The n best rows of every group: groups and tie columns, best score first, then ties ascending.
 
     ``bigger_better`` may be a column, where the direction depends on the row. ``runs`` bounds the share of a
-    hot group in one file; ``buckets`` is the number of merging tasks.
+    hot group in one file; ``buckets`` is the number of merging tasks, by default what the size of the input needs.
     """
     spark = df.sparkSession
-    buckets = buckets or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     down = bigger_better if isinstance(bigger_better, Column) else F.lit(bigger_better)
     value = score.cast("double") + F.lit(0.0)
     scored = df.withColumn("__score", value)
@@ -251,6 +255,10 @@ def top_n(
         *[c.alias(f"k{2 * i + 1 + j}") for i, t in enumerate(ties) for j, c in enumerate((F.col(t).isNull(), F.col(t)))],
     )
     # A null tie is told by its flag before it, so that the merge never compares it with a value.
+    if buckets is None:
+        size = int(str(narrow._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+        buckets = max(least, min(MOST_BUCKETS, -(-size // (runs * RUN))))
     gs, ks = [c for c in narrow.columns if c[0] == "g"], [c for c in narrow.columns if c[0] == "k"]
     folder = write_runs(narrow, gs, ks, n, buckets, runs)
     fields = [df.schema[g] for g in groups] + [df.schema[t] for t in ties]
