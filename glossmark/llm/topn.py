@@ -34,10 +34,6 @@ from glossmark.session import shared_folder, spread
 BATCH = 16_384
 #: Bytes of a row group of a run; seeking skips whole ones.
 ROW_GROUP = 1 << 20
-#: Merging tasks at most: more runs' files than that many times over are dear to list.
-MOST_BUCKETS = 50_000
-#: Bytes of a run, about, by the size that Spark expects of the input; batches give their groups' first rows only, so it is less.
-RUN = 1 << 27
 
 
 class LoserTree:
@@ -256,9 +252,11 @@ def top_n(
     )
     # A null tie is told by its flag before it, so that the merge never compares it with a value.
     if buckets is None:
-        size = int(str(narrow._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-        buckets = max(least, min(MOST_BUCKETS, -(-size // (runs * RUN))))
+        # A file for each input partition; as batches give their groups' first rows only, it is never larger than that.
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if narrow._jdf.queryExecution().executedPlan().nodeName() != "AdaptiveSparkPlan":
+            parts = max(parts, narrow.rdd.getNumPartitions())
+        buckets = max(spark.sparkContext.defaultParallelism, -(-parts // runs))
     gs, ks = [c for c in narrow.columns if c[0] == "g"], [c for c in narrow.columns if c[0] == "k"]
     folder = write_runs(narrow, gs, ks, n, buckets, runs)
     fields = [df.schema[g] for g in groups] + [df.schema[t] for t in ties]
