@@ -16,6 +16,7 @@ from glossmark import experiment
 from glossmark.operators import analysis, corpus, evaluate, nbest, report
 from glossmark.operators.metrics import load
 from glossmark.operators.metrics.ter import Costs
+from glossmark.session import clean
 from glossmark.sources import text as source
 from glossmark.sources.tables import word_table
 
@@ -144,6 +145,7 @@ def main(argv: list[str] | None = None) -> list[str]:
             else:
                 current.append(word)
         lines = run_eval(spark, args, [systems[k] for k in sorted(systems)])
+    clean(spark)
     print("\n".join(lines))
     return lines
 

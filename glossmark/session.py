@@ -37,7 +37,9 @@ def shared_folder(spark: SparkSession, what: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/glossmark-{what}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/glossmark-{what}-{uuid.uuid4().hex}"
+    _folders.append(folder)
+    return folder
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -56,6 +58,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 _held: list[DataFrame] = []
+_folders: list[str] = []
 
 
 def hold(df: DataFrame) -> DataFrame:
@@ -68,3 +71,11 @@ def release() -> None:
     """Free all that was held. Results made before are still right: they would be computed anew."""
     while _held:
         _held.pop().unpersist()
+
+
+def clean(spark: SparkSession) -> None:
+    """Free all that was held and delete what was written to the shared folder. Results made before can be read no more."""
+    release()
+    while _folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
