@@ -38,6 +38,8 @@ BLOCK_WORDS = 500_000
 #: Of the 40 % that a part must have, two words of a short item may be changed ones at its ends: they fall out of an alignment.
 COVERAGE = 0.35
 IDENTITY = 0.7
+#: Cells of the largest table of scores that is kept for an alignment.
+TABLE = 4_000_000
 #: Windows that a task keeps at a time.
 WINDOWS = 1_000
 #: A seed is rare if it stands alone in at most so many documents, or that share of them.
@@ -147,13 +149,40 @@ def _cluster_rows(shared):
 
 
 def align(item: list[str], near: list[str]) -> tuple[float, int, int, int]:
-    """Best local alignment: its score, the words of the item it covers, its length, its equal words.
-
-    Of each cell a row keeps where its path began, how long it is and its equal words, so no table is kept.
-    """
+    """Best local alignment: its score, the words of the item it covers, its length, its equal words."""
     codes = {w: i for i, w in enumerate(dict.fromkeys(item))}
     a = np.array([codes[w] for w in item])
     b = np.array([codes.get(w, -1) for w in near])
+    return _traced_back(a, b) if len(a) * len(b) <= TABLE else _row_by_row(a, b)
+
+
+def _traced_back(a: np.ndarray, b: np.ndarray) -> tuple[float, int, int, int]:
+    """The alignment read from a whole table of scores, back from the best one."""
+    n, m = len(a), len(b)
+    h = np.zeros((n + 1, m + 1))
+    ramp = GAP * np.arange(m + 1)
+    for i in range(1, n + 1):
+        row = np.maximum(h[i - 1, 1:] + GAP, h[i - 1, :-1] + np.where(b == a[i - 1], MATCH, MISMATCH))
+        row = np.concatenate(([0.0], np.maximum(row, 0.0)))
+        # Gaps along the row: the best start to the left, less a gap for each step.
+        h[i] = np.maximum.accumulate(row - ramp) + ramp
+    i, j = np.unravel_index(int(h.argmax()), h.shape)
+    score, end, steps, equal = float(h[i, j]), int(i), 0, 0
+    while i > 0 and j > 0 and h[i, j] > 0:
+        same = a[i - 1] == b[j - 1]
+        if h[i, j] == h[i - 1, j - 1] + (MATCH if same else MISMATCH):
+            equal += bool(same)
+            i, j = i - 1, j - 1
+        elif h[i, j] == h[i - 1, j] + GAP:
+            i -= 1
+        else:
+            j -= 1
+        steps += 1
+    return score, end - int(i), steps, equal
+
+
+def _row_by_row(a: np.ndarray, b: np.ndarray) -> tuple[float, int, int, int]:
+    """The same for long items: each cell knows where its path began, its length and its equal words, so no table is kept."""
     m = len(b)
     score, begin, steps, equal = np.zeros(m + 1), np.zeros(m + 1, dtype=np.int64), np.zeros(m + 1, dtype=np.int64), np.zeros(m + 1, dtype=np.int64)
     ramp, at = GAP * np.arange(m + 1), np.arange(m + 1)
