@@ -1,7 +1,6 @@
 """Scores that follow a stream of outputs: the same additive statistics, summed by a streaming aggregate.
 
-For metrics that work row by row, as BLEU and length do; TER and METEOR look at distinct pairs first and need a batch
-(``foreachBatch``).
+All metrics here work row by row, so all of them follow a stream.
 """
 
 from __future__ import annotations

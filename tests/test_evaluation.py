@@ -195,11 +195,11 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "in"))
     refs = spark.createDataFrame([(s, 0, f"a b {s}") for s in range(6)], "sent_id long, ref_id int, ref string")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = stream_scores.running_sums(stream, refs, M).writeStream.outputMode("complete").format("memory").queryName("sums").start()
+    query = stream_scores.running_sums(stream, refs, load("bleu length ter")).writeStream.outputMode("complete").format("memory").queryName("sums").start()
     query.processAllAvailable()
     query.stop()
     row = spark.table("sums").first()
-    assert row.sentences == 6 and row.bleu_match1 == 18 and row.length_ref == 18
+    assert row.sentences == 6 and row.bleu_match1 == 18 and row.length_ref == 18 and (row.ter_edits, row.ter_words) == (0, 18)
 
 
 def test_command_line(spark, tmp_path, capsys):
