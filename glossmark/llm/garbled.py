@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossmark.llm.lookalike import canonical
+from glossmark.operators.ranking import kept
 from glossmark.session import hold
 
 # How UTF-8 is misread.
@@ -337,7 +338,7 @@ def _traced(tokens: pd.Series) -> pd.Series:
 
 
 def matches(texts: DataFrame, clean: list[tuple[DataFrame, str]], col: str, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(suspects, their matches with forms of words, each with its weight)."""
+    """(suspects, their matches with forms of words, each with its weight). Matches are dear, so they are written to the shared folder."""
     words, suspects = vocabulary(texts, clean, col)
     spark = texts.sparkSession
     known = bitmap(suspects, bits)
@@ -346,7 +347,7 @@ def matches(texts: DataFrame, clean: list[tuple[DataFrame, str]], col: str, bits
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     forms = words.repartition(tasks, "word").mapInPandas(_form_rows(lets, 8 * len(known) - 1), FORMS)
     found = forms.join(suspects.select("token"), "token").withColumn("weight", _judged("token", "original", "chain", "multi", "units", "trusted"))
-    return suspects, hold(found)
+    return suspects, kept(found, "forms")
 
 
 def _original() -> Column:
