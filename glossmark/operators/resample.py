@@ -11,7 +11,6 @@ All sums are sums of integers, so equal systems have exactly equal scores.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from itertools import permutations, product
 
 import numpy as np

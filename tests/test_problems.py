@@ -53,7 +53,10 @@ RECORDS = [
     '0 ||| "a', 'b ""c"" ||| d" ||| f=1 ||| -1.5', "1 ||| plain ||| f ||| 2", '2 ||| "never closed ||| f ||| 1', "3 ||| after ||| f ||| 1", '4 ||| x ||| "f', "", 'g" ||| 7',
     "stray line", '5 ||| "broken', 'end"x ||| f ||| 1', '6 ||| a "b" c ||| f ||| 1', '7 ||| "open at the end',
 ]
-JOINED = {0: ("a\nb \"c\" ||| d", []), 2: ("plain", []), 3: (None, ["quoting"]), 4: ("after", []), 5: ("x", []), 8: (None, ["field_count"]), 9: (None, ["quoting"]), 10: (None, ["field_count"]), 11: ('a "b" c', []), 12: (None, ["quoting"])}
+JOINED = {
+    0: ("a\nb \"c\" ||| d", []), 2: ("plain", []), 3: (None, ["quoting"]), 4: ("after", []), 5: ("x", []), 8: (None, ["field_count"]), 9: (None, ["quoting"]),
+    10: (None, ["field_count"]), 11: ('a "b" c', []), 12: (None, ["quoting"]),
+}
 
 
 @pytest.mark.parametrize("split", [None, 40, 90])
