@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glossmark.operators.corpus import python_tasks
 from glossmark.operators.evaluate import RUN, long_scores
 from glossmark.operators.metrics.base import Metric
 from glossmark.operators.ranking import number_rows
@@ -104,8 +105,10 @@ def bootstrap_sums(stats: DataFrame, metrics: list[Metric], replicas: int = 10_0
         return pd.DataFrame({"sys_id": sys_id, "opt_id": opt_id, "replica": np.arange(replicas), **{n: out[:, i] for i, n in enumerate(names)}})
 
     schema = "sys_id int, opt_id int, replica int, " + ", ".join(f"{n} bigint" for n in names)
-    keys = [*RUN, "chunk"]
-    parts = cut.groupBy(*keys).cogroup(_paths(cut, chunks).groupBy(*[f"of_{k}" for k in keys])).applyInPandas(draw, schema)
+    # A fixed number of tasks: few bytes of statistics give long work, and must not be merged into few tasks.
+    keys, tasks = [*RUN, "chunk"], python_tasks(stats)
+    own, ways = cut.repartition(tasks, *keys), _paths(cut, chunks).repartition(tasks, *[f"of_{k}" for k in keys])
+    parts = own.groupBy(*keys).cogroup(ways.groupBy(*[f"of_{k}" for k in keys])).applyInPandas(draw, schema)
     return parts.groupBy(*RUN, "replica").agg(*[F.sum(n).alias(n) for n in names])
 
 
@@ -203,7 +206,7 @@ def shuffle_sums(stats: DataFrame, metrics: list[Metric], shuffles: int = 10_000
         )
 
     schema = "sys_id int, shuffle int, side string, " + ", ".join(f"{n} bigint" for n in names)
-    parts = cut.groupBy("sys_id", "chunk").applyInPandas(draw, schema)
+    parts = cut.repartition(python_tasks(stats), "sys_id", "chunk").groupBy("sys_id", "chunk").applyInPandas(draw, schema)
     return parts.groupBy("sys_id", "shuffle", "side").agg(*[F.sum(n).alias(n) for n in names])
 
 
