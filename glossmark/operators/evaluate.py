@@ -92,7 +92,8 @@ def diff_rank(stats: DataFrame, metrics: list[Metric], by_run: DataFrame, baseli
     other = median.where(F.col("sys_id") != baseline)
     both = other.join(base, ["metric", "sent_id"]).withColumn("diff", F.col("score") - F.col("base"))
     gain = F.round("diff", 9).desc()  # noise of the last digits is a tie
-    ranked = number_rows(both, ["metric", "sys_id"], [gain, F.col("sent_id").asc()], "place")
+    most = stats.groupBy(*RUN).count().agg(F.max("count")).first()[0] or 0  # a system has the rows of one run for each metric
+    ranked = number_rows(both, ["metric", "sys_id"], [gain, F.col("sent_id").asc()], "place", most)
     return ranked.withColumn("place", F.col("place") + 1)
 
 

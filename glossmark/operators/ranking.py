@@ -68,9 +68,12 @@ def window_place(group: list[str], order: list[Column]) -> Column:
     return (F.row_number().over(W.partitionBy(*group).orderBy(*order)) - 1).cast("bigint")
 
 
-def number_rows(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
-    """``name``: the place of each row in its group, from 0. Groups must not be null; the order should be total."""
-    small, large = parted(df, group)
+def number_rows(df: DataFrame, group: list[str], order: list[Column], name: str, most: int | None = None) -> DataFrame:
+    """``name``: the place of each row in its group, from 0. Groups must not be null; the order should be total.
+
+    ``most``: no group has more rows, if that is known; up to WINDOW the groups need not be counted then.
+    """
+    small, large = (df, None) if most is not None and most <= WINDOW else parted(df, group)
     small = small.select(*df.columns, window_place(group, order).alias(name))
     return small if large is None else small.unionByName(number_over_tasks(large, group, order, name))
 
