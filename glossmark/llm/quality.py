@@ -400,15 +400,27 @@ STATS = (
 )
 
 
-def text_figures(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """One row per document: its figures, and the share of its lines, by the root of their length, of each label."""
+def _lines(docs: DataFrame, common_words: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The observations of each document's lines and its sums, as LINES."""
     spark = docs.sparkSession
     narrow = spread(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")))
     texts = narrow.withColumn("counted", F.lit(None).cast("array<int>"))
     shared = [spark.sparkContext.broadcast([tuple(r) for r in block.collect()]) for block in _common_blocks(common_words)]
     for s in shared[:-1]:
         texts = texts.mapInArrow(_counted_rows(s), "id bigint, text string, counted array<int>")
-    lines = hold(texts.mapInArrow(_line_rows(shared[-1]), LINES))
+    return texts.mapInArrow(_line_rows(shared[-1]), LINES)
+
+
+def plain_figures(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: the figures of ``text_figures`` that need no labels, in one pass."""
+    ratios = {"mean_word_length": ("word_chars", "words"), "symbol_ratio": ("symbols", "chars"), "ended_lines": ("ended", "lines"), "common_words": ("common", "words")}
+    counted = _lines(docs, common_words, id_col, text_col).withColumn("lines", F.size("sizes").cast("bigint"))
+    return counted.select(F.col("id").alias(id_col), "words", "lines", *[F.try_divide(a, b).alias(n) for n, (a, b) in ratios.items()])
+
+
+def text_figures(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """One row per document: its figures, and the share of its lines, by the root of their length, of each label."""
+    lines = hold(_lines(docs, common_words, id_col, text_col))
     model = train(lines, rounds)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,3 +83,6 @@ def test_labels(spark, monkeypatch):
     assert len(Q._common_blocks(several)) == 3
     assert {r.doc_id: r.common_words for r in Q.text_figures(docs, several).collect()} == want
     assert abs(sum(got[0][s] for s in Q.LABELS) - 1) < 1e-9
+    plain = Q.plain_figures(docs, common)
+    assert {tuple(r) for r in plain.collect()} == {tuple(r) for r in Q.text_figures(docs, common).select(plain.columns).collect()}
+    assert Q.plain_figures(docs.limit(0), common).collect() == []
