@@ -17,6 +17,7 @@ ignored. Lines and texts may be of any length; a text is never cut.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -55,15 +56,17 @@ _CLOSERS = "\"'’”»)]」*_ \t\r"
 
 
 def _bin(x: float, *edges: float) -> int:
-    return sum(x > e for e in edges)
+    """How many of the ascending edges are less."""
+    return bisect_left(edges, x)
 
 
-def _odd(token: str) -> bool:
+def _odd(token: str, word: str) -> bool:
     """A token such as prose hardly has: letters with digits, changing case, endless, or one repeated character."""
     if len(token) > 30:
         return True
-    has_digit = any(c.isdigit() for c in token)
-    has_letter = any(c.isalpha() for c in token)
+    has_letter = word.isalpha()  # what was stripped from the word is neither
+    has_digit = not has_letter and any(c.isdigit() for c in token)
+    has_letter = has_letter or any(c.isalpha() for c in token)
     if has_digit and has_letter or "_" in token or "=" in token or "\\" in token or "/" in token or "@" in token:
         return True
     if len(token) > 2 and has_letter and not token.isupper() and not token[1:].islower() and token[1:] != token[1:].lower():
@@ -71,6 +74,22 @@ def _odd(token: str) -> bool:
     return len(token) > 5 and len(set(token)) <= 2
 
 
+#: What was seen of tokens in this worker: at most MOST_TOKENS of at most KEPT_LENGTH characters.
+_seen: dict[str, tuple[str, str, bool, bool]] = {}
+MOST_TOKENS, KEPT_LENGTH = 100_000, 64
+
+
+def _token(token: str) -> tuple[str, str, bool, bool]:
+    """The word in a token, and in lower case; whether the token is a number, and whether it is odd."""
+    word = token.strip(_EDGE)
+    told = word, word.lower(), _NUMBER.fullmatch(token) is not None, _odd(token, word)
+    if len(token) <= KEPT_LENGTH:
+        if len(_seen) >= MOST_TOKENS:
+            _seen.clear()
+        _seen[token] = told
+    return told
+
+
 class Common:
     """Frequent words, and the languages of each."""
 
@@ -81,11 +100,8 @@ class Common:
 
     def hits(self, tokens: list[str]) -> int:
         """Occurrences of common words of the one language that has most."""
-        found: Counter[str] = Counter()
-        for t in tokens:
-            if (langs := self.langs.get(t)) is not None:
-                found.update(langs)
-        return max(found.values(), default=0)
+        found = [lang for langs in filter(None, map(self.langs.get, tokens)) for lang in langs]
+        return max(Counter(found).values()) if found else 0
 
 
 def line_figures(line: str, common: Common, before: int = 0) -> tuple[list[int], tuple[int, int, int, int, int]]:
@@ -97,20 +113,19 @@ def line_figures(line: str, common: Common, before: int = 0) -> tuple[list[int],
     raw = line.split()
     if not raw:
         raw = [line := "-"]
-    cjk = len(_CJK.findall(line))
+    letters = _CJK.findall(line)
     chars = sum(map(len, raw))
-    dense = cjk > 0 and cjk * 2 > sum(map(str.isalpha, line))  # a script without blanks
+    dense = len(letters) * 2 > sum(map(str.isalpha, line)) if letters else False  # a script without blanks
+    tokens, lower, numeric, strange = zip(*[_seen.get(t) or _token(t) for t in raw])
     if dense:
-        letters = _CJK.findall(line)
         words = letters
         lookup = letters + [a + b for a, b in zip(letters, letters[1:])]
     else:
-        words = [w for t in raw if (w := t.strip(_EDGE))]
-        lookup = [w.lower() for w in words]
+        words, lookup = list(filter(None, tokens)), list(filter(None, lower))
     count = len(words)
     hits = max(before, common.hits(lookup))
-    numbers = sum(_NUMBER.fullmatch(t) is not None for t in raw)
-    odd = 0 if dense else sum(map(_odd, raw))
+    numbers = sum(numeric)
+    odd = 0 if dense else sum(strange)
     symbols = len(_SYMBOL.findall(line))
     tail = line.rstrip(_CLOSERS)
     last = tail[-1] if tail else line.rstrip()[-1]
